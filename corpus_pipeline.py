@@ -4,8 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import pii, quality_rules
+from palimpsest.llm import packing, pii, quality_classifier, quality_rules, simhash
 from palimpsest.llm.common import saved
+from palimpsest.llm.tokens import vocabulary_path
+
+
+def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that the quality classifier rejects."""
+    return quality_classifier.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,12 +19,28 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return quality_rules.keep_good(docs)
 
 
+def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near duplicates."""
+    return simhash.drop_near_duplicates(docs)
+
+
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data in every text."""
     return pii.redact(docs)
 
 
-STAGES = [("quality_rules", quality_rules_stage), ("pii", pii_stage)]
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the documents' tokens into training sequences."""
+    return packing.pack(docs, vocabulary_path())
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier_stage),
+    ("quality_rules", quality_rules_stage),
+    ("simhash_near_dedup", simhash_stage),
+    ("pii", pii_stage),
+    ("packing", packing_stage),
+]
 
 #: SQL can't express the learned score, the XXH64 fingerprints or the tokens.
 ORACLE_SQL = None
