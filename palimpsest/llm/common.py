@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from palimpsest.sources.scratch import remove_path, saved, shared_dir, shared_path
 
 #: Character class of the word separators (ASCII blanks): [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\f\r"
@@ -48,41 +48,6 @@ def text_or_empty(column: str | Column) -> Column:
     return F.coalesce(column.cast("string"), F.lit(""))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is the session's ``spark.checkpoint.dir``; only where that is unset, as
-    in local tests, a temporary folder takes its place.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = getattr(spark.sparkContext, "_corpus_shared_dir", None)
-        if base is None:
-            base = "file://" + tempfile.mkdtemp(prefix="corpus-")
-            spark.sparkContext._corpus_shared_dir = base
-    return base.rstrip("/")
-
-
-def shared_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame, tag: str) -> DataFrame:
-    """`df` written as Parquet in the shared folder and read again.
-
-    This cuts the lineage with files that outlive any executor.
-    """
-    path = shared_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def remove_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def hash_blocks(
     df: DataFrame, keys: Iterable[str], id_column: str, block_rows: int
 ) -> DataFrame:
