@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from palimpsest.functions.vector import dot
 
@@ -57,12 +57,12 @@ def fit(frame: DataFrame, vector: str = "vector") -> ByteCodes:
     return ByteCodes(tuple(r.low for r in rows), tuple(r.step for r in rows))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def to_half(vectors: pd.Series) -> pd.Series:
     """Little-endian IEEE half floats."""
     return vectors.map(lambda v: None if v is None else np.asarray(v, np.float32).astype("<f2").tobytes())
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def from_half(data: pd.Series) -> pd.Series:
     return data.map(lambda b: None if b is None else np.frombuffer(b, "<f2").astype(np.float32))
