@@ -2,8 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)` with `value` evaluated once per row.
+
+    A lambda variable is the only binding that the optimizer never inlines, so
+    an expensive expression used inside nested lambdas isn't computed again
+    for each element.
+    """
+    return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
+
+
 # Offset basis and prime of 64-bit FNV-1a.
 FNV_BASIS, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
 

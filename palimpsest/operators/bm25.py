@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from palimpsest.functions.scalar import let
 from palimpsest.functions.text import tokenize, tokenize_text
 from palimpsest.functions.vector import best_first
 from palimpsest.operators.knn import ranked
@@ -74,21 +75,24 @@ def search(
 def postings(docs: DataFrame, stopwords: bool = True, text: str = "text", rowid: str = "rowid", by: tuple[str, ...] = ()) -> DataFrame:
     """The inverted index: (*by, term, rowid, tf, length), one row a document and term.
 
-    A document's terms are counted where it is read: the explode is followed by
-    an aggregation on its own row's key, so the write can be sorted by term
-    with the one shuffle that `sortWithinPartitions` after a range needs.
+    A document's tokens are sorted and counted by runs where it is read, so the
+    index is made without a shuffle; write it before using it more than once.
     """
-    tokens = docs.select(*by, F.col(rowid).alias("rowid"), tokenize(F.col(text), stopwords).alias("tokens"))
 
-    def runs(tokens: Column) -> Column:
-        ordered = F.array_sort(tokens)
-        return F.transform(
-            F.array_distinct(ordered),
-            lambda term: F.struct(term.alias("term"), F.size(F.filter(ordered, lambda x: x == term)).alias("tf")),
+    def counted(tokens: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(tokens) - 1)
+        starts = F.filter(places, lambda i: (i == 0) | (F.get(tokens, i) != F.get(tokens, i - 1)))
+        return let(
+            starts,
+            lambda s: F.transform(
+                s, lambda i, j: F.struct(F.get(tokens, i).alias("term"), (F.coalesce(F.get(s, j + 1), F.size(tokens)) - i).alias("tf"))
+            ),
         )
 
-    counted = tokens.where(F.size("tokens") > 0).select(*by, "rowid", F.size("tokens").alias("length"), F.explode(runs(F.col("tokens"))).alias("t"))
-    return counted.select(*by, "t.term", "rowid", "t.tf", "length")
+    tokens = docs.select(*by, F.col(rowid).alias("rowid"), let(tokenize(F.col(text), stopwords), F.sort_array).alias("tokens"))
+    filled = tokens.where(F.size("tokens") > 0)
+    terms = filled.select(*by, "rowid", F.size("tokens").alias("length"), F.explode(let(F.col("tokens"), counted)).alias("t"))
+    return terms.select(*by, "t.term", "rowid", "t.tf", "length")
 
 
 def statistics(index: DataFrame, by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:

@@ -100,8 +100,10 @@ def greedy(candidates: DataFrame, pick: Callable[[pd.DataFrame], np.ndarray], hi
         out = ordered.iloc[pick(ordered)].reset_index(drop=True)
         return out.assign(rank=np.arange(1, len(out) + 1, dtype=np.int32))[[f.name for f in rest] + ["rank"]]
 
-    grouped = candidates.select(*(f.name for f in rest)).groupBy(*(keys or [F.lit(0)]))
-    return grouped.applyInPandas(chosen, schema)
+    rows = candidates.select(*(f.name for f in rest))
+    if not keys:
+        rows, keys = rows.withColumn("_all", F.lit(0)), ["_all"]
+    return rows.groupBy(*keys).applyInPandas(chosen, schema)
 
 
 def drop_near(candidates: DataFrame, threshold: float, higher_is_better: bool = True) -> DataFrame:

@@ -265,6 +265,15 @@ def _bury(write: _Write, rows: DataFrame) -> int:
     return n
 
 
+def _plain(record: dict) -> dict:
+    """A record with all fields and their Python types; ints may stand for floats."""
+    out = {c: record.get(c) for c in columns(RECORD)}
+    out["vector"] = [float(x) for x in out["vector"]]
+    for name in ("importance", "confidence"):
+        out[name] = None if out[name] is None else float(out[name])
+    return out
+
+
 def _checked_number(name: str, value: float | None) -> None:
     if value is not None and not math.isfinite(value):
         raise NonFinite(name)
@@ -297,7 +306,7 @@ class Namespace(NamespaceView):
         for r in records:
             if unknown := set(r) - set(names):
                 raise ConfigError(f"unknown fields {sorted(unknown)}")
-        rows = [tuple([float(x) for x in r["vector"]] if c == "vector" else r.get(c) for c in names) for r in records]
+        rows = [tuple(_plain(r).values()) for r in records]
         frame = self.store.log.spark.createDataFrame(rows, RECORD).coalesce(1)
         if self.store.config.dedup in (Dedup.OFF, Dedup.KEEP_BOTH):
             return self._outcomes(self._append(frame))
@@ -448,7 +457,7 @@ class Namespace(NamespaceView):
                 existing = pending.get(match[0]) or self.view.get_by_rowid(match[0]).asDict()
                 merged = config.merge(existing, records[i])
             if merged is not None:
-                whole = {c: merged.get(c) for c in columns(RECORD)}
+                whole = _plain(merged)
                 place(whole, match[0])
                 pending[match[0]] = whole
                 outcomes.append(Outcome(MERGED, match[0], match[1]))
@@ -515,8 +524,7 @@ class Namespace(NamespaceView):
         return True
 
     def _append_version(self, write: _Write, row: dict, **details) -> None:
-        shaped = {**row, "ttl_ms": None}
-        frame = self.store.log.spark.createDataFrame([tuple(shaped[c] for c in columns(RECORD))], RECORD)
+        frame = self.store.log.spark.createDataFrame([tuple(_plain(row).values())], RECORD)
         self._validate(frame)
         row = {**row, "seqno": write.take("next_seqno", 1), "tx_ms": write.now, "vector": [float(x) for x in row["vector"]]}
         for name in ("importance", "confidence"):
@@ -540,9 +548,7 @@ class Namespace(NamespaceView):
         write, row = self.store.writing(), self._row(key, None)
         if row is None:
             raise NotFound(key)
-        frame = self.store.log.spark.createDataFrame(
-            [tuple([float(x) for x in record["vector"]] if c == "vector" else (key if c == "key" else record.get(c)) for c in columns(RECORD))], RECORD
-        )
+        frame = self.store.log.spark.createDataFrame([tuple(_plain({**record, "key": key}).values())], RECORD)
         self._validate(frame)
         seqno = write.take("next_seqno", 1)
         new = self._versions(frame.withColumn("rowid", F.lit(row.rowid)).withColumn("seqno", F.lit(seqno)), write)
