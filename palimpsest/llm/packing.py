@@ -129,8 +129,12 @@ def pack(docs: DataFrame, vocabulary: str, text: str = "text", size: int = WINDO
     """Packs the ids of all documents; one row per piece.
 
     Only pieces' places and checksums leave the tasks, but for the ids of the
-    windows left open: at most `open_windows` times `size` ids a task.
+    windows left open: at most `open_windows` times `size` ids a task. A merge
+    task takes `fan_in` left-over windows; that must be at least twice
+    `open_windows`, or rounds need not get smaller.
     """
+    if fan_in < 2 * open_windows:
+        raise ValueError("fan_in must be at least twice open_windows")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     end = struct.pack("<I", end_id)
 

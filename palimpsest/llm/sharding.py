@@ -59,6 +59,7 @@ def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int
         docs.select(*columns, path.alias(fresh(docs, "_path")), size.alias(fresh(docs, "_bytes"))), "sharding"
     )
     path_name, bytes_name = rows.columns[-2:]
+    prefix_name, leaf_name = fresh(rows, "_prefix"), fresh(rows, "_leaf")
     total = rows.agg(F.coalesce(F.sum(bytes_name), F.lit(0))).first()[0]
     last = min(KEY_BITS, max(0, -(-total // limit)).bit_length() + 2)
     first, rest, done = 0, rows, []
@@ -68,21 +69,21 @@ def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int
         )
         leaves = saved(_depths(sizes, first, last, limit), "directory")
         placed = rest.join(
-            leaves.withColumnRenamed("prefix", "_prefix").withColumnRenamed("leaf", "_leaf"),
-            F.substring(path_name, 1, last) == F.col("_prefix"), "left",
+            leaves.withColumnRenamed("prefix", prefix_name).withColumnRenamed("leaf", leaf_name),
+            F.substring(path_name, 1, last) == F.col(prefix_name), "left",
         )
-        done.append(placed.where("_leaf IS NOT NULL"))
+        done.append(placed.where(F.col(leaf_name).isNotNull()))
         covered, wanted = leaves.count(), sizes.count()
         if covered == wanted or last >= 2 * KEY_BITS:
             if covered != wanted:
                 raise RuntimeError("rows share all bits of their hashes")
             break
-        rest = saved(placed.where("_leaf IS NULL").select(*rows.columns), "sharding")
+        rest = saved(placed.where(F.col(leaf_name).isNull()).select(*rows.columns), "sharding")
         first, last = last + 1, min(2 * KEY_BITS, last + STEP_BITS)
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
-    leaf = F.col("_leaf")
+    leaf = F.col(leaf_name)
     return out.select(
         *columns,
         F.substring(F.col(path_name), F.lit(1), leaf["depth"]).alias(fresh(docs, "shard")),

@@ -1,0 +1,197 @@
+"""Operators that SQL can say: on the test tables, and on odd rows, against SQL or plain Python."""
+
+import hashlib
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from palimpsest.llm import pii, quality_rules, queries, sharding, url_filter
+from palimpsest.llm.common import hash_blocks
+
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_agrees_with_sql(spark, sf, duck, agree, name):
+    agree(queries.QUERIES[name](spark, sf), duck, queries.oracle_sql()[name])
+
+
+def docs(spark, texts):
+    return spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], DOCS)
+
+
+# ---- personal data ----
+
+def luhn(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        n = int(c) * (2 if i % 2 else 1)
+        total += n - 9 if n > 9 else n
+    return total % 10 == 0
+
+
+PATTERNS = {
+    "email": (re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), lambda m: True),
+    "ip": (re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), lambda m: all(int(p) <= 255 for p in m.split("."))),
+    "card": (re.compile(r"[0-9]([\x20-]?[0-9])+"), lambda m: 12 <= len(d := re.sub("[^0-9]", "", m)) <= 19 and luhn(d)),
+    "phone": (re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"), lambda m: 9 <= len(re.sub("[^0-9]", "", m)) <= 15),
+}
+
+
+def base_spans(text):
+    found = []
+    for k, (kind, (pattern, good)) in enumerate(PATTERNS.items()):
+        found += [(m.start(), k, m.end(), kind) for m in pattern.finditer(text or "") if good(m[0])]
+    return ",".join(f"{kind}:{s}:{e}" for s, _, e, kind in sorted(found))
+
+
+ODD_TEXTS = [
+    None, "", " ", "a@b.c", "x..y@z.c.d a@b a@@b.cc me@host.com.", "1.2.3.4 256.1.1.1 1.2.3.4.5.6.7.8 0001.002.03.4", "4111 1111 1111 1111, 4111-1111-1111-1112",
+    "411111111111111141111111111111114111", "+1 (555) 123-4567 +44 20 +49.30.123456", "𝒳é me@host.org 10.0.0.1 +12345678901", "@" * 5000, "1" * 5000, "1." * 3000,
+    "a" * 20000 + "@b.cc", "+1" * 2000, "- -1 2-3 4 " * 500, "IBAN DE89 3704 0044 0532 0130 00 and DE88370400440532013000", "SSN 078-05-1120 or 000-12-3456", "mail a.b+c%d_e-f@x-y.z1.com.",
+]
+
+
+def test_base_spans_of_odd_texts(spark):
+    got = {r.doc_id: r for r in pii.report(docs(spark, ODD_TEXTS)).collect()}
+    for i, text in enumerate(ODD_TEXTS):
+        spans = base_spans(text)
+        assert got[i].base_sha256 == hashlib.sha256(spans.encode()).hexdigest(), (i, spans, got[i].spans)
+        for kind in PATTERNS:
+            assert got[i][f"n_{kind}"] == spans.count(kind + ":")
+
+
+def test_base_spans_of_the_table(spark, sf):
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = {r.doc_id: r.text for r in table.collect()}
+    for row in pii.report(table).collect():
+        assert row.base_sha256 == hashlib.sha256(base_spans(texts[row.doc_id]).encode()).hexdigest()
+
+
+def test_added_spans_need_checksum_and_context(spark):
+    got = {r.doc_id: r.spans for r in pii.report(docs(spark, ODD_TEXTS)).collect()}
+    at = ODD_TEXTS.index(next(t for t in ODD_TEXTS if t and t.startswith("IBAN")))
+    assert "iban:5:32" in got[at] and got[at].count("iban") == 1
+    assert "ssn:4:15" in got[at + 1] and got[at + 1].count("ssn") == 1
+
+
+def test_redact(spark):
+    frame = docs(spark, ["mail me@host.com now", None, "clean", "call +1 555 123 4567 or 4111111111111111"])
+    got = {r.doc_id: r for r in pii.redact(frame).collect()}
+    assert got[0].text == "mail <EMAIL> now" and got[0].n_chars == len(got[0].text)
+    assert got[1].text is None and got[2].text == "clean" and got[3].text == "call <PHONE> or <CARD>"
+    assert pii.redact(frame).columns == frame.columns
+
+
+# ---- quality rules ----
+
+def measured(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    grams = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    seen = {g: grams.count(g) for g in set(grams)} if len(grams) < 3000 else {}
+    covered = {j for i, g in enumerate(grams) if seen.get(g, 0) > 1 for j in range(i, i + 3)}
+    return (len(words), sum(map(len, words)), sum((text or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered))
+
+
+QUALITY_TEXTS = [None, "", " \n ", "one two", "a b c a b c", "a a a a", "a b c d " * 40, "x\n" * 60, "\n".join(f"line {i} of text {i}" for i in range(80)), "ü𝒳 # * $ % & | < >", "a\x0bb\x0cc\u00a0d",
+                 "A1 " * 100, " ".join(f"w{i}" for i in range(2500)), "same line here\n" * 3 + "other words " + " ".join(f"v{i}" for i in range(70))]
+
+
+def test_quality_counts_of_odd_texts(spark):
+    got = {r.doc_id: r for r in quality_rules.report(docs(spark, QUALITY_TEXTS)).collect()}
+    for i, text in enumerate(QUALITY_TEXTS):
+        row = got[i]
+        n_words, *_, repeat = expected = measured(text)
+        assert (row.n_words, row.word_chars, row.n_symbols, row.n_dup_lines, row.n_repeat_words) == expected, i
+        assert row.base_failed == (n_words < 50 or 100 * repeat > 50 * n_words)
+        assert not (row.base_failed and row.kept)
+
+
+def test_cascade_order_changes_no_verdict(spark, sf):
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    kept = {r.doc_id for r in quality_rules.keep_good(table).select("doc_id").collect()}
+    turned = table.where(quality_rules.cascade(F.coalesce("text", F.lit("")), list(reversed(quality_rules.RULES))))
+    assert {r.doc_id for r in turned.select("doc_id").collect()} == kept
+    assert {r.doc_id for r in quality_rules.report(table).where("kept").collect()} == kept
+
+
+def test_cascade_puts_worth_first():
+    rules = quality_rules.RULES[:3]
+    made = [quality_rules.Estimate(r, s, p) for r, s, p in zip(rules, (1.0, 1.0, 0.1), (0.1, 0.5, 0.1))]
+    assert [r.name for r in quality_rules.ordered(made)] == [rules[2].name, rules[1].name, rules[0].name]
+
+
+# ---- URLs ----
+
+URLS = [None, "", "no scheme", "http://", "HTTP://Example.NET/en/x?q#f", "http://sub.example.net/de/", "https://a.org/fr/x", "https://a.org/FR/x", "x://example.com/de/1", "x://badexample.com/de/1",
+        "x://example.com#frag/de/", "x://org/fr/", "a://b://c/d", "x://net", "x://h/ü€😀", "x://example.com?/de/"]
+
+
+def test_url_parts_and_rules(spark):
+    frame = spark.createDataFrame([(i, u, "<p>") for i, u in enumerate(URLS)], "page_id bigint, url string, html string")
+    model = url_filter.default_model()
+    for row in url_filter.judge(frame).collect():
+        host, path = url_filter.parse(URLS[row.page_id])
+        assert (row.host, row.path) == (host, path)
+        rule = None
+        for r in sorted(url_filter.RULES, key=lambda r: len(r.pattern)):
+            if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path):
+                rule = r
+        assert row.rule == (rule.pattern if rule else None)
+        assert row.score == model.score(host, path)
+        assert row.verdict == (rule.verdict if rule else "block" if row.score > 0 else "allow")
+
+
+def test_url_model_learns():
+    good = [u for u, y in url_filter.labelled_urls() if y == 0]
+    model = url_filter.default_model()
+    wrong = sum((model.score(*url_filter.parse(u)) > 0) != bool(y) for u, y in url_filter.labelled_urls())
+    assert good and wrong <= 0.02 * len(url_filter.labelled_urls())
+    assert model.score(*url_filter.parse("http://mega-casino-slots.example/bonus/jackpot")) > 0
+    assert model.score(*url_filter.parse("https://www.garden.example/en/articles/7")) <= 0
+
+
+# ---- sharding ----
+
+@pytest.mark.parametrize("limit", [1, 1000, 40_000])
+def test_shards_fit_and_are_shortest(spark, sf, limit):
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    size = {r.doc_id: r.n for r in table.select("doc_id", F.octet_length("text").alias("n")).collect()}
+    got = sharding.report(table, limit).collect()
+    assert sorted(r.doc_id for r in got) == sorted(size)
+    total, paths = {}, {}
+    for r in got:
+        total.setdefault(r.shard, []).append(size[r.doc_id])
+        paths[r.doc_id] = r.shard
+    for r in got:
+        rows = total[r.shard]
+        assert r.shard_bytes == sum(rows) and r.fits == (sum(rows) <= limit) and (r.fits or len(rows) == 1)
+        if r.shard:  # the bucket one bit up did not fit
+            parent = [size[d] for d, s in paths.items() if s.startswith(r.shard[:-1])]
+            assert sum(parent) > limit and len(parent) > 1
+    shards = sorted(total)
+    assert not any(b.startswith(a) for a, b in zip(shards, shards[1:]))
+
+
+def test_one_key_with_most_rows_is_split(spark):
+    frame = spark.createDataFrame([(7 if i % 3 else i, "x" * 100, "en", "s", 100) for i in range(300)], DOCS)
+    got = sharding.assign(frame, limit=1000).collect()
+    assert len(got) == 300 and all(r.fits and r.shard_bytes <= 1000 for r in got)
+
+
+def test_written_shards(spark, tmp_path):
+    frame = docs(spark, ["x" * 50] * 40)
+    back = sharding.write_shards(frame, f"file://{tmp_path}/s", limit=500)
+    assert back.count() == 40 and back.groupBy("shard").agg(F.sum("n_chars").alias("n")).where("n > 500").count() == 0
+
+
+def test_hash_blocks_meet_once(spark):
+    frame = spark.createDataFrame([(i, 0 if i < 40 else i) for i in range(60)], "id bigint, g bigint")
+    dealt = hash_blocks(frame, ["g"], "id", 8).collect()
+    met = {}
+    for r in dealt:
+        met.setdefault((r.g, r.block_a, r.block_b), []).append((r.id, r.block_own))
+    pairs = [tuple(sorted((a, b))) for (g, x, y), rows in met.items() for i, (a, own_a) in enumerate(rows) for b, own_b in rows[:i] if x == y or own_a != own_b]
+    assert len(pairs) == len(set(pairs)) == 40 * 39 // 2 and max(map(len, met.values())) < 30
