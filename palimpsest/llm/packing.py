@@ -21,6 +21,7 @@ from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from palimpsest.llm.common import saved
@@ -119,6 +120,12 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
     return frame
 
 
+def _arrow(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [()] * len(_COLUMNS)
+    kinds = [pa.binary() if c == "left_over" else pa.int64() for c in _COLUMNS]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], _COLUMNS)
+
+
 def _task(round_: int) -> int:
     from pyspark import TaskContext
 
@@ -138,20 +145,20 @@ def pack(docs: DataFrame, vocabulary: str, text: str = "text", size: int = WINDO
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     end = struct.pack("<I", end_id)
 
-    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        packer, encode, base, done = Packer(size, open_windows), encoder(vocabulary).encode, _task(0), 0
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer, words, base, done = Packer(size, open_windows), encoder(vocabulary), _task(0), 0
         for batch in batches:
-            for doc_id, value in zip(batch["doc_id"], batch["text"]):
-                ids = encode(value or "") + end
-                packer.add(None if pd.isna(doc_id) else int(doc_id), 0, ids, len(ids) // 4)
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), words.encode_all(batch.column("text"))):
+                ids += end
+                packer.add(doc_id, 0, ids, len(ids) // 4)
                 if len(packer.full) >= 4096:
-                    yield _frame(_rows(packer.full, base + done, False))
+                    yield _arrow(_rows(packer.full, base + done, False))
                     done += len(packer.full)
                     packer.full = []
-        yield _frame(_rows(packer.full, base + done, False))
-        yield _frame(_rows(packer.close(), base + done + len(packer.full), True))
+        yield _arrow(_rows(packer.full, base + done, False))
+        yield _arrow(_rows(packer.close(), base + done + len(packer.full), True))
 
-    placed = saved(rows.mapInPandas(first, _PIECES), "packed")
+    placed = saved(rows.mapInArrow(first, _PIECES), "packed")
     parts = [placed.where("left_over IS NULL")]
     left, round_ = placed.where("left_over IS NOT NULL"), 1
     while True:

@@ -23,6 +23,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -133,25 +134,27 @@ def write(docs: DataFrame, path: str, vocabulary: str, text: str = "text", end_i
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     ranged = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
 
-    def store(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId()
         filesystem, folder = _filesystem(path)
         part = f"{folder}/.{number:06d}-{uuid.uuid4().hex}"
         final = f"{folder}/part-{number:06d}.tok"
-        encode, end = encoder(vocabulary).encode, struct.pack("<I", end_id)
+        words, end = encoder(vocabulary), struct.pack("<I", end_id)
         with filesystem.open_output_stream(part) as stream:
             writer = FrameWriter(stream)
             for batch in batches:
-                for doc_id, value in zip(batch["doc_id"], batch["text"]):
-                    writer.add(None if pd.isna(doc_id) else int(doc_id), encode(value or "") + end)
+                for doc_id, ids in zip(batch.column("doc_id").to_pylist(), words.encode_all(batch.column("text"))):
+                    writer.add(doc_id, ids + end)
             writer.close()
         filesystem.move(part, final)
-        yield pd.DataFrame({"part": [number], "file": [final], "docs": [len(writer.documents)], "ids": [writer.ids]})
+        yield pa.RecordBatch.from_pydict(
+            {"part": pa.array([number], pa.int32()), "file": [final], "docs": [len(writer.documents)], "ids": [writer.ids]}
+        )
 
     _filesystem(path)[0].create_dir(_filesystem(path)[1], recursive=True)
-    made = ranged.mapInPandas(store, "part int, file string, docs bigint, ids bigint").collect()
+    made = ranged.mapInArrow(store, "part int, file string, docs bigint, ids bigint").collect()
     return sorted((r.part, r.file, r.docs, r.ids) for r in made)
 
 

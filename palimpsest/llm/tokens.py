@@ -1,4 +1,4 @@
-"""Token ids of whole texts with a public vocabulary, cached by word.
+"""Token ids of whole texts with a public vocabulary, word by word over whole batches.
 
 Vocabulary files stay where the installed package has them; `path` is a
 parameter of every operator that needs one.
@@ -7,19 +7,26 @@ parameter of every operator that needs one.
 from __future__ import annotations
 
 import os
-import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 VOCABULARY = "word_bpe_49k.json"
-#: Entries of a worker's word cache; it is emptied when full, so its memory is bounded.
+#: Entries of a worker's younger word cache. When it is full it becomes the older
+#: one, whose words come back as they are met again; so memory is bounded by twice
+#: as many entries, and words in use stay.
 CACHE_ENTRIES = 300_000
 LONGEST_CACHED = 64
-_CUT = str.maketrans("\n\t\r", "   ")
+#: Texts are encoded together up to so many bytes; a longer text goes alone.
+CHUNK_BYTES = 16 << 20
+#: Bytes that part words: blank, tab and line ends.
+_BLANK = np.isin(np.arange(256), [9, 10, 13, 32])
 #: Latin-1 letters and then at most common punctuation: for these the whole word's
 #: ids are the letters' (in lower case) and then the punctuation's.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+_PLAIN = r"^(?P<stem>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<tail>[.,;:!?]*)$"
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -28,13 +35,31 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of texts without nulls, and each text's start, with the end."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    raw = texts.buffers()[2]
+    data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
+    return data, offsets - offsets[0]
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places starts[i], starts[i] + 1, ... (sizes[i] of them) of all i in a row."""
+    ends = np.cumsum(sizes, dtype=np.int64)
+    kind = np.int32 if ends[-1] < 1 << 31 else np.int64
+    found = np.repeat((starts - (ends - sizes)).astype(kind), sizes)
+    found += np.arange(len(found), dtype=kind)
+    return found
+
+
 class WordEncoder:
-    """Encodes texts as little-endian uint32 ids.
+    """Encodes texts as uint32 ids.
 
     The vocabulary drops white space and never joins words across it, so a
     text's ids are its words' ids in order. A word is what stands between
     blanks, tabs and line ends; other white space stays inside and is left to
-    the tokenizer.
+    the tokenizer. The words of many texts are cut and numbered as arrays, each
+    distinct one is encoded once, and the ids are gathered by number.
     """
 
     def __init__(self, path: str) -> None:
@@ -42,61 +67,108 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
         for piece, number in self.tokenizer.get_vocab(with_added_tokens=True).items():
             ends[number] = piece.endswith("</w>")
         self.ends = ends
 
-    def _slow(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.asarray(ids, "<u4").tobytes()
+    def _each(self, words: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return [np.asarray(x.ids, "<u4").tobytes() for x in found]
 
-    def _learn_stems(self, stems: list[str]) -> None:
+    def _joined(self, stems: list[str]) -> list[bytes]:
         """Encodes lower-case letter runs together; each ends with an end-of-word piece."""
-        ids = np.asarray(self.tokenizer.encode(" ".join(stems), add_special_tokens=False).ids, "<u4")
-        ends = np.flatnonzero(self.ends[ids]) + 1
+        joined = self.tokenizer.encode_batch_fast([" ".join(stems)], add_special_tokens=False)[0]
+        ids = np.asarray(joined.ids, "<u4")
+        ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
         if len(ends) != len(stems):
-            for stem in stems:
-                self.stems[stem] = self._slow(stem)
-            return
-        raw, start = ids.tobytes(), 0
-        for stem, end in zip(stems, (ends * 4).tolist()):
-            self.stems[stem] = raw[start:end]
-            start = end
-
-    def _learn(self, words: set[str]) -> None:
-        if len(self.words) + len(words) > CACHE_ENTRIES:
-            self.words.clear()
-        if len(self.stems) + len(words) > CACHE_ENTRIES:
-            self.stems.clear()
-        plain, new = {}, set()
-        for word in words:
-            if len(word) > LONGEST_CACHED:
-                continue
-            if m := _PLAIN.fullmatch(word):
-                stem, tail = m[1].lower(), m[2]
-                plain[word] = stem, tail
-                new.update(x for x in (stem, tail) if x and x not in self.stems)
-            else:
-                self.words[word] = self._slow(word)
-        if new:
-            self._learn_stems(sorted(new))
-        for word, (stem, tail) in plain.items():
-            self.words[word] = self.stems[stem] + (self.stems[tail] if tail else b"")
+            return self._each(stems)
+        raw = ids.tobytes()
+        return [raw[x:y] for x, y in zip([0, *ends], ends)]
+
+    def _learned(self, words: list[str], encode) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words in a row, number of ids of each)."""
+        found = list(map(self.known.get, words))
+        places = [i for i, x in enumerate(found) if x is None]
+        if places:
+            if len(self.known) > CACHE_ENTRIES:
+                self.known, self.older = {}, self.known
+            known, older = self.known, self.older
+            new = [words[i] for i in places]
+            if older:
+                for i, word in zip(places, new):
+                    if (ids := older.get(word)) is not None:
+                        found[i] = known[word] = ids
+                places = [i for i in places if found[i] is None]
+                new = [words[i] for i in places]
+            for i, word, ids in zip(places, new, encode(new) if new else [], strict=True):
+                found[i] = ids
+                if len(word) <= LONGEST_CACHED:
+                    known[word] = ids
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        return np.frombuffer(b"".join(found), "<u4"), sizes
+
+    def _distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A pool of ids, and the two ranges of it that are each distinct word's: [words, 2] starts and sizes."""
+        parts = pc.extract_regex(words, _PLAIN)
+        plain = parts.is_valid().to_numpy(zero_copy_only=False)
+        starts, sizes = np.zeros((len(words), 2), np.int64), np.zeros((len(words), 2), np.int64)
+        pools, held = [], 0
+        parts = parts.filter(pa.array(plain))
+        tasks = [
+            (pc.utf8_lower(pc.struct_field(parts, 0)), 0, plain, self._joined),
+            (pc.struct_field(parts, 1), 1, plain, self._each),
+            (words.filter(pa.array(~plain)), 0, ~plain, self._each),
+        ]
+        for column, side, rows, encode in tasks:
+            numbered = column.dictionary_encode()
+            pool, length = self._learned(numbered.dictionary.to_pylist(), encode)
+            place = held + np.cumsum(length) - length
+            code = numbered.indices.to_numpy()
+            starts[rows, side], sizes[rows, side] = place[code], length[code]
+            pools.append(pool)
+            held += len(pool)
+        return np.concatenate(pools), starts, sizes
+
+    def encode_chunk(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, each text's first place, with the end)."""
+        data, at = _bytes_of(texts)
+        solid = ~_BLANK[data]
+        opens = solid.copy()
+        opens[1:] &= ~solid[:-1]
+        firsts = at[:-1][at[:-1] < at[1:]]
+        opens[firsts] = solid[firsts]
+        begin = np.flatnonzero(opens)
+        if not len(begin):
+            return np.zeros(0, "<u4"), np.zeros(len(texts) + 1, np.int64)
+        packed = data[solid]
+        offsets = np.append(np.cumsum(solid, dtype=np.int32)[begin] - 1, np.int32(len(packed)))
+        words = pa.StringArray.from_buffers(len(begin), pa.py_buffer(offsets), pa.py_buffer(packed)).dictionary_encode()
+        pool, starts, sizes = self._distinct(words.dictionary)
+        code = words.indices.to_numpy()
+        ids = pool[_ranges(starts[code].ravel(), sizes[code].ravel())]
+        ends = np.concatenate(([0], np.cumsum(sizes.sum(axis=1)[code])))
+        return ids, ends[np.searchsorted(begin, at)]
+
+    def encode_all(self, texts: pa.Array) -> Iterator[bytes]:
+        """Ids of each text as little-endian bytes; a null text has none."""
+        if isinstance(texts, pa.ChunkedArray):
+            texts = texts.combine_chunks()
+        texts = texts.cast(pa.string()).fill_null("")
+        ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+        at = 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(ends, int(ends[at]) + CHUNK_BYTES, "right")) - 1)
+            ids, places = self.encode_chunk(texts.slice(at, to - at))
+            raw, places = ids.tobytes(), (4 * places).tolist()
+            for x, y in zip(places, places[1:]):
+                yield raw[x:y]
+            at = to
 
     def encode(self, text: str) -> bytes:
-        words = text.translate(_CUT).split(" ")
-        known = self.words
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            self._learn({w for w in words if w not in known})
-            if missing := [w for w in set(words) if w not in known]:
-                extra = {w: self._slow(w) for w in missing}
-                return b"".join([known[w] if w in known else extra[w] for w in words])
-            return b"".join([known[w] for w in words])
+        return next(self.encode_all(pa.array([text], pa.string())))
 
 
 @lru_cache(maxsize=2)
