@@ -21,7 +21,7 @@ VOCABULARY = "word_bpe_49k.json"
 CACHE_ENTRIES = 300_000
 LONGEST_CACHED = 64
 #: Texts are encoded together up to so many bytes; a longer text goes alone.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 #: Bytes that part words: blank, tab and line ends.
 _BLANK = np.isin(np.arange(256), [9, 10, 13, 32])
 #: Latin-1 letters and then at most common punctuation: for these the whole word's
