@@ -12,6 +12,8 @@ from functools import lru_cache
 
 from pyspark.sql import Column, functions as F
 
+from palimpsest.functions.scalar import let
+
 # The stop words.
 STOPWORDS = (
     "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "he", "in", "is", "it",
@@ -21,31 +23,43 @@ STOPWORDS = (
 # The ideograph blocks that are cut into bigrams.
 CJK_RANGES = ((0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x2FA1F))
 
+# The characters that Unicode calls white space.
+WHITE_SPACE = (
+    "\u0009\u000a\u000b\u000c\u000d\u0020\u0085\u00a0\u1680\u2000\u2001\u2002\u2003"
+    "\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
 _JAVA_CJK = "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in CJK_RANGES)
-_JAVA_EDGES = r"\A[^\p{IsAlphabetic}\p{N}]+|[^\p{IsAlphabetic}\p{N}]+\z"
+#: ASCII members are listed one by one, as the JVM looks single Latin-1 characters up in a table.
+_JAVA_WORD = "[" + "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ" + r"\p{IsAlphabetic}\p{N}]"
+_JAVA_SOLID = "[^" + "".join(rf"\x{{{ord(c):X}}}" for c in WHITE_SPACE) + "]"
+#: From a piece's first to its last character that is alphabetic or numeric.
+_JAVA_PIECE = f"{_JAVA_WORD}(?:{_JAVA_SOLID}*{_JAVA_WORD})?"
 
 
-def tokenize(text: Column, stopwords: bool = True) -> Column:
-    """Tokens of each text, in order; a null text has none."""
-    pieces = F.split(F.coalesce(text, F.lit("")), r"\p{IsWhite_Space}+", -1)
-    trimmed = F.transform(pieces, lambda p: F.regexp_replace(p, _JAVA_EDGES, ""))
-    runs = F.flatten(
-        F.transform(
-            F.filter(trimmed, lambda p: p != ""),
-            lambda p: F.when(p.rlike(f"[{_JAVA_CJK}]"), F.regexp_extract_all(p, F.lit(f"[{_JAVA_CJK}]+|[^{_JAVA_CJK}]+"), F.lit(0)))
-            .otherwise(F.array(p)),
-        )
-    )
+def _cut(pieces: Column) -> Column:
+    """Splits pieces at the borders of CJK runs, and these into bigrams."""
+    runs = F.flatten(F.transform(pieces, lambda p: F.regexp_extract_all(p, F.lit(f"[{_JAVA_CJK}]+|[^{_JAVA_CJK}]+"), F.lit(0))))
 
     def pair(run: Column) -> Column:
         return F.transform(
             F.sequence(F.lit(1), F.greatest(F.length(run) - 1, F.lit(1))), lambda i: F.substring(run, i, F.lit(2))
         )
 
-    tokens = F.flatten(
-        F.transform(runs, lambda r: F.when(r.rlike(rf"\A[{_JAVA_CJK}]"), pair(r)).otherwise(F.array(F.lower(r))))
-    )
-    return F.filter(tokens, lambda t: ~t.isin(*STOPWORDS)) if stopwords else tokens
+    return F.flatten(F.transform(runs, lambda r: F.when(r.rlike(rf"\A[{_JAVA_CJK}]"), pair(r)).otherwise(F.array(r))))
+
+
+def tokenize(text: Column, stopwords: bool = True) -> Column:
+    """Tokens of each text, in order; a null text has none.
+
+    One scan finds the pieces; they are lower-cased together, and only texts
+    that have ideographs are cut further.
+    """
+    text = F.coalesce(text, F.lit(""))
+    pieces = F.regexp_extract_all(text, F.lit(_JAVA_PIECE), F.lit(0))
+    cut = let(pieces, lambda p: F.when(F.array_join(p, "").rlike(f"[{_JAVA_CJK}]"), _cut(p)).otherwise(p))
+    lower = let(cut, lambda p: F.when(F.size(p) == 0, p).otherwise(F.split(F.lower(F.array_join(p, "\n")), "\n", -1)))
+    return F.filter(lower, lambda t: ~t.isin(*STOPWORDS)) if stopwords else lower
 
 
 @lru_cache(maxsize=1)

@@ -29,15 +29,15 @@ def term_weight(tf: Column, length: Column, mean: Column) -> Column:
 
 def _counted(docs: DataFrame, terms: list[str], stopwords: bool, text: str, rowid: str, where: Column | None) -> DataFrame:
     """Per document its length in tokens and its count of each term; one pass, no shuffle."""
-    tokens = F.transform(
-        F.array(tokenize(F.col(text), stopwords)),
-        lambda t: F.struct(
-            F.size(t).alias("length"),
-            F.transform(F.lit(terms), lambda term: F.size(F.filter(t, lambda x: x == term))).alias("tf"),
-        ),
-    )
+    def count(tokens: Column) -> Column:
+        found = F.filter(tokens, lambda x: x.isin(*terms)) if terms else F.slice(tokens, 1, 0)
+        tf = let(found, lambda f: F.transform(F.lit(terms).cast("array<string>"), lambda term: F.size(F.filter(f, lambda x: x == term))))
+        return F.struct(F.size(tokens).alias("length"), tf.alias("tf"))
+
     wanted = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
-    counted = docs.select(F.col(rowid).alias("rowid"), wanted.alias("wanted"), F.element_at(tokens, 1).alias("c"))
+    # Exploding one struct keeps later filters from evaluating the tokens again below the projection.
+    once = F.explode(F.array(let(tokenize(F.col(text), stopwords), count)))
+    counted = docs.select(F.col(rowid).alias("rowid"), wanted.alias("wanted"), once.alias("c"))
     return counted.select("rowid", "wanted", "c.length", "c.tf").where("length > 0")
 
 
@@ -82,17 +82,20 @@ def postings(docs: DataFrame, stopwords: bool = True, text: str = "text", rowid:
     def counted(tokens: Column) -> Column:
         places = F.sequence(F.lit(0), F.size(tokens) - 1)
         starts = F.filter(places, lambda i: (i == 0) | (F.get(tokens, i) != F.get(tokens, i - 1)))
-        return let(
+        runs = let(
             starts,
             lambda s: F.transform(
-                s, lambda i, j: F.struct(F.get(tokens, i).alias("term"), (F.coalesce(F.get(s, j + 1), F.size(tokens)) - i).alias("tf"))
+                s,
+                lambda i, j: F.struct(
+                    F.get(tokens, i).alias("term"), (F.coalesce(F.get(s, j + 1), F.size(tokens)) - i).alias("tf"), F.size(tokens).alias("length")
+                ),
             ),
         )
+        return F.when(F.size(tokens) > 0, runs)
 
-    tokens = docs.select(*by, F.col(rowid).alias("rowid"), let(tokenize(F.col(text), stopwords), F.sort_array).alias("tokens"))
-    filled = tokens.where(F.size("tokens") > 0)
-    terms = filled.select(*by, "rowid", F.size("tokens").alias("length"), F.explode(let(F.col("tokens"), counted)).alias("t"))
-    return terms.select(*by, "t.term", "rowid", "t.tf", "length")
+    terms = let(let(tokenize(F.col(text), stopwords), F.sort_array), counted)
+    found = docs.select(*by, F.col(rowid).alias("rowid"), F.explode(terms).alias("t"))
+    return found.select(*by, "t.term", "rowid", "t.tf", "t.length")
 
 
 def statistics(index: DataFrame, by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
