@@ -1,0 +1,173 @@
+"""Near copies: word shingles, MinHash bands propose pairs, exact set similarity confirms.
+
+A text is the set of its shingles of `SHINGLE_WORDS` words; two texts are near
+copies if their sets' similarity, intersection by union, is `SIMILAR` or more.
+A 64-bit SimHash can't propose such pairs: at this threshold some ten bits
+differ. So `BANDS` keys, each of `BAND_ROWS` MinHashes, propose them; a pair at
+the threshold shares no key with chance (1 - 0.8^4)^20 = 3e-5, a closer one less
+often. Buckets of the same members count once. In a bucket all similarities are
+computed exactly, but links are only sought to members not yet reached, so that
+links span as all links would and no list of pairs is written.
+
+Defined results: a null text has no words, and texts without words are copies
+of each other; a text of fewer words is one shingle; ASCII case and blanks don't
+count. Groups are made of rows, not of ids: of each group the row with the
+smallest doc_id stays, one with a null doc_id only if the group has no other.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+
+from palimpsest.llm.common import WORD_REGEX, hash_blocks, saved
+from palimpsest.operators.components import connected_components
+
+SHINGLE_WORDS = 5
+#: The least similarity, as a fraction.
+SIMILAR = (4, 5)
+BANDS = 20
+BAND_ROWS = 4
+SEED = 42
+#: Larger buckets are dealt out in pairs of blocks of so many rows.
+BLOCK_ROWS = 256
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_dice = np.random.default_rng(SEED)
+_FACTORS = _dice.integers(0, 2**64, (BANDS * BAND_ROWS, 1), dtype=np.uint64) | np.uint64(1)
+_SHIFTS = _dice.integers(0, 2**64, (BANDS * BAND_ROWS, 1), dtype=np.uint64)
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    last = ends[min(SHINGLE_WORDS, len(words)) - 1 :]
+    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), last.tolist())], np.uint64))
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """The key of each band for a set that isn't empty."""
+    least = np.full(BANDS * BAND_ROWS, 2**64 - 1, np.uint64)
+    for i in range(0, len(hashes), 4096):
+        np.minimum(least, (_FACTORS * hashes[i : i + 4096] + _SHIFTS).min(axis=1), out=least)
+    least = least.reshape(BANDS, BAND_ROWS)
+    out = np.arange(BANDS, dtype=np.uint64)
+    for i in range(BAND_ROWS):
+        out = (out ^ least[:, i]) * _MIX
+        out ^= out >> np.uint64(29)
+    return out.view(np.int64)
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _bands(texts: pd.Series) -> pd.Series:
+    return pd.Series([band_keys(s) if len(s := shingles(t)) else [] for t in texts], dtype=object)
+
+
+@F.pandas_udf(T.BinaryType())
+def _sets(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: shingles(t).tobytes())
+
+
+def bucket_links(sets: list[np.ndarray], side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that connect sets as all pairs of similar ones would; with `side`, only rows of different sides are compared."""
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    top, bottom = SIMILAR
+    opened = np.ones(len(sets), bool)
+    found, waiting = [], []
+    for seed in range(len(sets)):
+        if not opened[seed]:
+            continue
+        opened[seed] = False
+        waiting.append(seed)
+        while waiting:
+            i = waiting.pop()
+            others = opened & (bottom * np.minimum(size, size[i]) >= top * np.maximum(size, size[i]))
+            if side is not None:
+                others &= side != side[i]
+            j = np.flatnonzero(others)
+            if not len(j):
+                continue
+            flat = np.concatenate([sets[x] for x in j])
+            at = np.minimum(np.searchsorted(sets[i], flat), size[i] - 1)
+            starts = np.cumsum(size[j]) - size[j]
+            common = np.add.reduceat((sets[i][at] == flat).astype(np.int64), starts)
+            j = j[bottom * common >= top * (size[i] + size[j] - common)]
+            opened[j] = False
+            found.extend((i, x) for x in j.tolist())
+            waiting.extend(j.tolist())
+    return found
+
+
+_GROUP = ["key", "block_a", "block_b"]
+
+
+def _linked(frame: pd.DataFrame) -> pd.DataFrame:
+    """Links of whole groups, given in order of their keys."""
+    keys = frame[_GROUP].to_numpy(np.int64)
+    own, nodes = frame["block_own"].to_numpy(np.int64), frame["node"].to_numpy(np.int64)
+    sets = [np.frombuffer(s, np.uint64) for s in frame["hashes"]]
+    change = np.flatnonzero(np.any(keys[1:] != keys[:-1], axis=1)) + 1
+    pairs: list[tuple[int, int]] = []
+    for s, e in zip([0, *change.tolist()], [*change.tolist(), len(keys)]):
+        side = None if keys[s, 1] == keys[s, 2] else own[s:e] == keys[s, 2]
+        pairs.extend((s + i, s + j) for i, j in bucket_links(sets[s:e], side))
+    i, j = np.array(pairs, np.int64).reshape(-1, 2).T
+    return pd.DataFrame({"a": nodes[i], "b": nodes[j]})
+
+
+def _link_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Feeds whole groups to `_linked`; a group may span Arrow batches."""
+    rest: pd.DataFrame | None = None
+    for batch in batches:
+        if rest is not None:
+            batch = pd.concat([rest, batch], ignore_index=True)
+        if not len(batch):
+            continue
+        keys = batch[_GROUP].to_numpy(np.int64)
+        cut = int(np.argmax((keys == keys[-1]).all(axis=1)))
+        if cut:
+            yield _linked(batch.iloc[:cut])
+        rest = batch.iloc[cut:].reset_index(drop=True)
+    if rest is not None and len(rest):
+        yield _linked(rest)
+
+
+def links(texts: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Links (a, b) of the near copies among the distinct `node`s, given with their `text`."""
+    keyed = saved(texts.select("node", F.explode(_bands("text")).alias("key")), "bands")
+    tests = (F.bit_xor(F.xxhash64(F.lit(n), F.col("node"))).alias(f"x{n}") for n in (1, 2))
+    buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *tests).where("n > 1")
+    once = buckets.groupBy("n", "x1", "x2").agg(F.min("key").alias("key")).select("key")
+    members = saved(keyed.join(once, "key"), "members")
+    sets = saved(texts.join(members.select("node").distinct(), "node", "left_semi").select("node", _sets("text").alias("hashes")), "sets")
+    dealt = hash_blocks(members, ["key"], "node", block_rows).join(sets, "node")
+    dealt = dealt.select(*_GROUP, "block_own", "node", "hashes").repartition(*_GROUP).sortWithinPartitions(*_GROUP)
+    return dealt.mapInPandas(_link_groups, "a bigint, b bigint")
+
+
+def drop_near_copies(docs: DataFrame, text: str = "text", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """One row of each group of near copies."""
+    columns = docs.columns
+    body = F.col(text).cast("string")
+    node = F.when(body.rlike(WORD_REGEX), F.xxhash64(body)).otherwise(F.lit(0).cast("bigint"))
+
+    def order(field) -> Column:
+        rest = (field(c).cast("string") for c in columns if c not in ("doc_id", text))
+        return F.struct(field("doc_id").isNull(), field("doc_id"), field(text), *rest)
+
+    rows = docs.select(node.alias("node"), F.struct(*columns).alias("row"))
+    field = lambda c: F.col("row").getField(c)
+    least = F.min_by("row", order(field)).alias("row")
+    unique = saved(rows.groupBy("node").agg(least), "unique")
+    texts = unique.select("node", field(text).cast("string").alias("text"))
+    labels = connected_components(links(texts, block_rows))
+    placed = unique.join(labels, "node", "left").withColumn("node", F.coalesce("component", "node"))
+    return placed.groupBy("node").agg(least).select(*(field(c).alias(c) for c in columns))
