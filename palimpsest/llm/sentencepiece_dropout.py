@@ -2,11 +2,12 @@
 
 The merges are those of a public merge-type model: of all neighbouring symbols
 that join to a piece, the best-scored pair, then the leftmost, is next on the
-agenda. With dropout a keyed hash decides for each candidate (seed, variant,
-word, place, piece) whether it is skipped for good. A word's variant is a keyed
-hash of the seed, the document and the word's number, out of a fixed few, so
-the same document always gets the same ids, and the words of a batch are worked
-out together, one merge a round, as numpy arrays.
+agenda. With dropout a keyed hash decides for each candidate (seed, document,
+word number, place, piece) whether it is skipped for good. So every occurrence
+of a word draws afresh, and the same document always gets the same ids. A
+word's plain ids are kept with the candidates met on the way; an occurrence that
+skips none of these has the plain ids. The others of a batch are worked out
+together, one merge a round, as numpy arrays.
 
 Pieces hold the blank mark only at their start, so texts are cut into words
 before it. Blanks become the mark, one mark goes before a text, and whatever
@@ -33,10 +34,11 @@ from palimpsest.llm.tokens import vocabulary_path
 
 MODEL = "piece_bpe_32k.model"
 DROPOUT = 0.1
-VARIANTS = 4
 SEED = 11
 CACHE_ENTRIES = 250_000
 LONGEST_CACHED = 48
+#: Draws of so many occurrences are made together.
+BLOCK_WORDS = 1 << 16
 #: Words are worked out together up to so many characters.
 BATCH_CHARS = 1 << 20
 MARK = "▁"
@@ -51,6 +53,11 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def word_keys(doc_id: object, n: int, seed: int = SEED) -> np.ndarray:
+    """The keys of a document's first n words."""
+    return _mixed(np.arange(n, dtype=np.uint64) * _MIX + np.uint64(xxhash.xxh64_intdigest(str(doc_id).encode(), seed)))
+
+
 class MergeEncoder:
     """Encodes words of a merge-type model in batches."""
 
@@ -82,7 +89,7 @@ class MergeEncoder:
                 if a is not None and b is not None:
                     pairs[(a << 20) | b] = i
         self._table(pairs)
-        self.known: dict[tuple[str, int], bytes] = {}
+        self.known: dict[str, tuple[bytes, np.ndarray]] = {}
 
     def _table(self, pairs: dict[int, int]) -> None:
         """An open-addressed table of pairs; `probes` is the longest search."""
@@ -117,8 +124,11 @@ class MergeEncoder:
                 break
         return out
 
-    def words(self, words: list[str], keys: np.ndarray, dropout: float) -> list[bytes]:
-        """Ids of each word as little-endian int32; keys (uint64) decide what is skipped."""
+    def words(self, words: list[str], keys: np.ndarray, dropout: float, met: list | None = None) -> list[bytes]:
+        """Ids of each word as little-endian int32; keys (uint64) decide what is skipped.
+
+        The words and hashes of all candidates that come up are added to `met`.
+        """
         text = "".join(words)
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
         size = np.fromiter(map(len, words), np.int64, len(words))
@@ -142,9 +152,12 @@ class MergeEncoder:
             piece = self.joined(symbol[i], symbol[right[i]])
             good = piece >= 0
             i, some, piece = i[good], some[good], piece[good]
+            if dropout > 0 or met is not None:
+                candidate = _mixed((offset[i].astype(np.uint64) << np.uint64(20)) ^ piece.astype(np.uint64) * _MIX)
+            if met is not None:
+                met.append((owner[i], candidate))
             if dropout > 0:
-                key = keys[owner[i]] ^ _mixed((offset[i].astype(np.uint64) << np.uint64(20)) ^ piece.astype(np.uint64) * _MIX)
-                stay = _mixed(key + _MIX) >= limit
+                stay = _mixed((keys[owner[i]] ^ candidate) + _MIX) >= limit
                 i, some, piece = i[stay], some[stay], piece[stay]
             value[some] = (self.rank[piece] << 32) | offset[i]
             return value
@@ -191,43 +204,69 @@ class MergeEncoder:
         cuts = (4 * np.searchsorted(out_owner, np.arange(len(words) + 1))).tolist()
         return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
 
-    def _learn(self, wanted: list[tuple[str, int]], seed: int, dropout: float) -> dict[tuple[str, int], bytes]:
+    def _parts(self, words: list[str]) -> Iterator[slice]:
+        """Consecutive words, together of at most `BATCH_CHARS` characters or one word."""
+        start = chars = 0
+        for i, w in enumerate(words):
+            if i > start and chars + len(w) > BATCH_CHARS:
+                yield slice(start, i)
+                start, chars = i, 0
+            chars += len(w)
+        if words:
+            yield slice(start, len(words))
+
+    def _learn(self, wanted: list[str]) -> dict[str, tuple[bytes, np.ndarray]]:
+        """Each word's plain ids and the hashes of the candidates met on the way."""
         found = {}
-        i = 0
-        while i < len(wanted):
-            part, chars = [], 0
-            while i < len(wanted) and (not part or chars + len(wanted[i][0]) <= BATCH_CHARS):
-                part.append(wanted[i])
-                chars += len(wanted[i][0])
-                i += 1
-            digest = xxhash.xxh64_intdigest
-            keys = np.array([digest(w.encode("utf-8", "surrogatepass"), seed * 1000003 + v & (2**64 - 1)) for w, v in part], np.uint64)
-            found.update(zip(part, self.words([w for w, _ in part], keys, dropout)))
+        for at in self._parts(wanted):
+            part, met = wanted[at], []
+            plain = self.words(part, np.zeros(len(part), np.uint64), 0, met)
+            owner, candidates = (np.concatenate(x) for x in zip(*met))
+            order = np.argsort(owner, kind="stable")
+            cuts = np.searchsorted(owner[order], np.arange(1, len(part)))
+            # Copies, so that a kept word doesn't keep its whole batch.
+            found.update(zip(part, zip(plain, (x.copy() for x in np.split(candidates[order], cuts)))))
         return found
 
-    def encode_batch(self, ids: list, texts: list[str], seed: int = SEED, dropout: float = DROPOUT, variants: int = VARIANTS) -> list[np.ndarray]:
-        """Ids of whole texts; `ids` key the variants."""
-        split, wanted = [], set()
-        for doc_id, text in zip(ids, texts):
-            words = _WORDS.findall(" " + text) if text else []
-            if dropout > 0 and variants > 1:
-                key = xxhash.xxh64_intdigest(str(doc_id).encode(), seed)
-                number = np.arange(len(words), dtype=np.uint64)
-                variant = (_mixed(number * _MIX + np.uint64(key)) % np.uint64(variants)).tolist()
-            else:
-                variant = [0] * len(words)
-            split.append(list(zip(words, variant)))
-            wanted.update(split[-1])
-        settings = (seed, dropout)
-        if getattr(self, "_settings", settings) != settings or len(self.known) > CACHE_ENTRIES:
-            self.known.clear()
-        self._settings = settings
-        new = self._learn([w for w in wanted if w not in self.known], seed, dropout)
-        known = self.known
-        out = [np.frombuffer(b"".join([known[w] if w in known else new[w] for w in words]), "<i4") for words in split]
-        known.update((w, x) for w, x in new.items() if len(w[0]) <= LONGEST_CACHED)
+    def _drawn(self, words: list[str], keys: np.ndarray, known: dict[str, tuple[bytes, np.ndarray]], dropout: float) -> list[bytes]:
+        """Ids of each occurrence; its key decides what is skipped."""
+        out = [known[w][0] for w in words]
+        if dropout <= 0 or not words:
+            return out
+        number: dict[str, int] = {}
+        code = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
+        tried = [known[w][1] for w in number]
+        size = np.fromiter(map(len, tried), np.int64, len(tried))
+        first, size = (np.cumsum(size) - size)[code], size[code]
+        before = np.cumsum(size) - size
+        own = np.repeat(np.arange(len(words)), size)
+        candidate = np.concatenate(tried)[np.arange(len(own)) - np.repeat(before - first, size)]
+        limit = np.uint64(min(2**64 - 1, int(dropout * 2.0**64)))
+        redo = np.unique(own[_mixed((keys[own] ^ candidate) + _MIX) < limit])
+        again = [words[i] for i in redo.tolist()]
+        for at in self._parts(again):
+            for i, ids in zip(redo[at].tolist(), self.words(again[at], keys[redo[at]], dropout)):
+                out[i] = ids
         return out
 
+    def encode_batch(self, ids: list, texts: list[str], seed: int = SEED, dropout: float = DROPOUT) -> list[np.ndarray]:
+        """Ids of whole texts; `ids` and the words' numbers key the draws."""
+        split = [_WORDS.findall(" " + t) if t else [] for t in texts]
+        if len(self.known) > CACHE_ENTRIES:
+            self.known.clear()
+        wanted = {w for words in split for w in words}
+        new = self._learn([w for w in wanted if w not in self.known])
+        known = {w: new[w] if w in new else self.known[w] for w in wanted}
+        size = [len(words) for words in split]
+        flat = [w for words in split for w in words]
+        keys = np.concatenate([word_keys(doc_id, n, seed) for doc_id, n in zip(ids, size)]) if ids else np.zeros(0, np.uint64)
+        drawn: list[bytes] = []
+        for i in range(0, len(flat), BLOCK_WORDS):
+            drawn += self._drawn(flat[i : i + BLOCK_WORDS], keys[i : i + BLOCK_WORDS], known, dropout)
+        self.known.update((w, x) for w, x in new.items() if len(w) <= LONGEST_CACHED)
+        ends = np.cumsum(size).tolist()
+        return [np.frombuffer(b"".join(drawn[e - n : e]), "<i4") for n, e in zip(size, ends)]
+
     def decode(self, ids: np.ndarray) -> str:
         raw = self.raw
         return b"".join([raw[i] for i in ids.tolist()])[1:].decode("utf-8", "surrogatepass")
@@ -245,7 +284,7 @@ def _parts(batch: pd.DataFrame, chars: int = 1 << 19) -> Iterator[pd.DataFrame]:
         yield part
 
 
-def encode(docs: DataFrame, model: str, text: str = "text", seed: int = SEED, dropout: float = DROPOUT, variants: int = VARIANTS) -> DataFrame:
+def encode(docs: DataFrame, model: str, text: str = "text", seed: int = SEED, dropout: float = DROPOUT) -> DataFrame:
     """(doc_id, ids) of every text."""
 
     def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -253,7 +292,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", seed: int = SEED, dr
         for batch in batches:
             for part in _parts(batch):
                 texts = [t or "" for t in part["text"]]
-                yield pd.DataFrame({"doc_id": part["doc_id"], "ids": merge.encode_batch(part["doc_id"].tolist(), texts, seed, dropout, variants)})
+                yield pd.DataFrame({"doc_id": part["doc_id"], "ids": merge.encode_batch(part["doc_id"].tolist(), texts, seed, dropout)})
 
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col(text).cast("string").alias("text"))
     done = rows.mapInPandas(encoded, "doc_id string, ids array<int>")
