@@ -1,7 +1,8 @@
 """Optional approximate search: an inverted file of k-means cells, and byte codes.
 
 Both narrow the rows that the exact score is computed on; the scores returned
-are always exact, and with all cells probed the results are the exact ones.
+are always exact. With all cells probed the results are the exact ones; byte
+codes only leave out rows that can't be among them.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from palimpsest.config import IndexOptions, Metric
 from palimpsest.functions.quant import ByteCodes
-from palimpsest.functions.vector import best_first, matrix_scores, score, vector as as_vector
+from palimpsest.functions.vector import best_first, dot, matrix_scores, score, vector as as_vector
 from palimpsest.operators.knn import top_k
 
 
@@ -95,13 +96,47 @@ def two_stage(
     rows: DataFrame, query: Sequence[float], k: int, codes: ByteCodes, metric: Metric = Metric.COSINE, oversample: int = 4,
     code: str = "code", vector: str = "vector", rowid: str = "rowid",
 ) -> DataFrame:
-    """Coarse scores on byte codes keep oversample * k rows; these get their exact scores."""
-    approx = codes.dot(F.col(code), [float(x) for x in query])
+    """The exact k best rows: coarse scores on byte codes, exact ones wherever the codes leave it open.
+
+    The exact scores of the oversample * k best by code give a score to reach;
+    then every row whose code allows for that score gets its exact one. Where
+    the codes are coarse these may be all rows. Rows without code are among
+    them; the codes must be fitted on rows that include these.
+    """
+    q = [float(x) for x in query]
+    approx = codes.dot(F.col(code), q)
     if metric is not Metric.DOT:
         approx = score(metric, codes.decode(F.col(code)), as_vector(query))
-    coarse = rows.select(F.col(rowid).alias("rowid"), F.col(vector).alias("vector"), approx.alias("coarse"))
+    coarse = rows.select(F.col(rowid).alias("rowid"), F.col(vector).alias("vector"), F.col(code).alias("code"), approx.alias("coarse"))
     short = coarse.orderBy(*best_first(metric, F.col("coarse"), F.col("rowid"))).limit(oversample * k)
-    return top_k(short, query, k, metric)
+    reached = [r.score for r in top_k(short, query, k, metric).collect()]
+    if len(reached) < k or not k or not np.isfinite(reached[-1]):
+        return top_k(coarse, query, k, metric)
+    open_ = _may_reach(codes, F.col("code"), q, metric, reached[-1])
+    return top_k(coarse, query, k, metric, F.coalesce(open_, F.lit(True)))
+
+
+def _may_reach(codes: ByteCodes, code: Column, query: list[float], metric: Metric, reached: float) -> Column:
+    """Whether a row of this code can have a score as good as `reached`; null or true if that isn't known."""
+    low, step, q = (np.asarray(x, np.float64) for x in (codes.low, codes.step, query))
+    if len(low) != len(q):
+        return F.lit(True)
+    # Half a step a dimension, and what rounding may add.
+    error = step * 0.500001 + 1e-9 * (np.abs(low) + 255 * step)
+    off, radius, norm = float(np.abs(q) @ error), float(np.linalg.norm(error)), float(np.linalg.norm(q))
+    slack = 1e-9 * max(1.0, abs(reached))
+    if metric is Metric.L2:
+        least = F.greatest(F.sqrt(score(metric, codes.decode(code), as_vector(query))) - radius, F.lit(0.0))
+        return least * least <= reached + slack
+    most = codes.dot(code, query) + off
+    if metric is Metric.DOT:
+        return most >= reached - slack
+    decoded = codes.decode(code)
+    length = F.sqrt(dot(decoded, decoded))
+    shortest = (length - radius) * norm
+    # Too short for a bound on the cosine: open.
+    least_scale = F.when(most > 0, shortest).otherwise((length + radius) * norm)
+    return (shortest < 1e-6) | (most >= (reached - slack) * least_scale)
 
 
 def recall(exact: DataFrame, found: DataFrame, keys: Sequence[str] = ("query_id", "rowid")) -> float:
