@@ -63,3 +63,12 @@ def test_documents(spark, sf):
     rows = sorted(spark.read.parquet(f"{sf}/documents.parquet").collect(), key=lambda r: r.doc_id)
     got = near_copies.drop_near_copies(spark.read.parquet(f"{sf}/documents.parquet"))
     assert sorted(r.doc_id for r in got.collect()) == [rows[i].doc_id for i in _kept([r.text for r in rows])]
+
+
+def test_null_and_repeated_ids(spark, sf):
+    text = lambda n: " ".join(f"t{n}w{i}" for i in range(30))
+    # Copies without an id; a copy of a kept document without an id; one id with unrelated texts, one of them a copy.
+    rows = [(None, text(1)), (None, text(1)), (1, text(2)), (None, text(2)), (2, text(2)), (2, text(3))]
+    frame = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+    got = dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, frame, sf)
+    assert {(r.doc_id, r.text) for r in got.collect()} == {(None, text(1)), (1, text(2)), (2, text(3))} and got.count() == 3
