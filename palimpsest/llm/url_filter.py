@@ -6,8 +6,10 @@ its weights, in millionths, are scored with DataFrame expressions only. Integer
 weights make every sum exact and independent of order.
 
 Defined results: a null url, or one without ://, has an empty host and path and
-is judged by the model's bias alone; an empty table gives an empty result;
-repeated rows are judged alike; other columns pass through.
+is judged by the few 3-grams of the empty parts; a URL of any length is read whole, in time
+linear in its length; of rules of equal length the first listed wins; an empty
+table gives an empty result; repeated rows, and rows of equal page_id, are judged
+row by row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-BUCKETS = 2048
+BUCKETS = 8192
 SCALE = 1_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -46,33 +48,83 @@ RULES = (
     UrlRule("allow", "org/fr/"),
 )
 
-_GOOD_HOSTS = (
-    "en.wikipedia.example", "www.library.example", "docs.university.example", "news.daily.example", "blog.garden.example",
-    "www.museum.example", "archive.history.example", "m.weather.example", "forum.cooking.example", "science.journal.example",
-    "www.city-council.example", "support.software.example", "learn.maths.example", "travel.guide.example", "www.hospital.example",
-    "www.example.com", "blog.example.org", "m.example.net", "ththan.example.com", "tionsh.example.org",
+#: Names, words and paths from which the labelled table is put together. All hosts
+#: are invented. Spam and clean hosts get the same subdomains, endings and paths, so
+#: none of these decides alone; clean words that look like spam words stand against them.
+_SUBDOMAINS = ("", "www.", "m.", "blog.", "en.", "shop.")
+_ENDINGS = ("example.com", "example.net", "example.org", "com", "net", "org", "example", "info")
+_SPAM_WORDS = (
+    "casino", "poker", "jackpot", "slots", "roulette", "betting", "bets", "bonus", "lottery", "win", "winner", "prize",
+    "free", "cheap", "pills", "viagra", "pharma", "meds", "adult", "xxx", "porn", "sex", "cams", "dating", "x",
+    "loans", "cash", "payday", "crypto", "profit", "replica", "crack", "keygen", "warez", "torrent",
+    "spam", "malware", "phish", "verify", "ads", "adserver", "banner", "popup", "click", "track", "tracker", "farm",
 )
-_GOOD_PATHS = (
-    "/wiki/River", "/en/articles/412", "/de/45", "/fr/history.html", "/es/noticias/2021", "/2019/07/summer-notes",
-    "/docs/install/", "/en/25", "/a/how-to-bake-bread", "/about", "/papers/1204.5678", "/en/853/", "/guide/chapter-3.html",
+_CLEAN_WORDS = (
+    "city", "council", "garden", "history", "museum", "library", "school", "river", "weather", "journal", "science",
+    "travel", "kitchen", "music", "theatre", "hospital", "winter", "window", "farming", "freedom", "adulthood", "addition",
+    "railway", "tractor", "tracking-birds", "clicking", "spinach", "profile", "pilgrim", "casing", "better", "pottery",
+    "xylophone", "sussex", "cashmere", "croquet", "chapel", "peach", "advent", "address", "shadow", "bonsai", "news", "daily",
+    "nation", "station", "fashion", "friendship", "leadership", "question", "workshop", "bookshop", "relations", "education",
+    "mountain", "northern", "brother", "weather-report", "another", "method", "thread", "health", "earth", "thirty", "together",
+    "market", "forest", "harbour", "bridge", "letters", "painting", "building", "evening", "wonder", "lantern", "summer",
+    "table", "vegetable", "noble", "family", "weekly", "reading", "hundred", "island", "planet", "orchard", "village", "society",
 )
-_BAD_HOSTS = (
-    "casino-bonus.example", "free-viagra.example", "xxx-videos.example", "win-prize-now.example", "hot-singles.example",
-    "cheap-pills.example", "betting-slots.example", "porn-tube.example", "crypto-doubler.example", "replica-watches.example",
-    "login-verify-account.example", "torrent-crack.example", "payday-loans.example", "poker-jackpot.example", "adult-cams.example",
+_CLEAN_PATHS = (
+    "", "/", "/about", "/docs/install/", "/papers/1204.5678", "/guide/chapter-3.html", "/2019/07/summer-notes",
+    "/a/how-to-bake-bread", "/wiki/River", "/history.html", "/team/contact.php", "/item?id=7",
 )
-_BAD_PATHS = (
+_SPAM_PATHS = (
     "/casino/free-spins", "/viagra-cheap.php", "/xxx/teen", "/win/prize?id=1", "/buy-now/pills", "/bet/slots/jackpot",
     "/porn/hd", "/crack/keygen.exe", "/loan/fast-cash", "/verify/account/login.php", "/sex-chat/live", "/poker/bonus",
 )
+_LANGUAGES = ("en", "de", "fr", "es")
 
 
-def labelled_urls() -> list[tuple[str, int]]:
-    """The built-in table (url, 1 for block): invented hosts, under 500 rows."""
-    good = [(f"https://{h}{p}", 0) for i, h in enumerate(_GOOD_HOSTS) for j, p in enumerate(_GOOD_PATHS) if (i + j) % 2]
-    bad = [(f"http://{h}{p}", 1) for i, h in enumerate(_BAD_HOSTS) for j, p in enumerate(_BAD_PATHS) if (i + j) % 2]
-    mixed = [(f"https://{h}{p}", 1) for h in _GOOD_HOSTS[:8] for p in _BAD_PATHS[::2]]
-    return good + bad + mixed
+def _name(dice: random.Random) -> str:
+    """An invented host name of letters that any language may put together."""
+    parts = []
+    for _ in range(dice.randint(2, 4)):
+        ends = dice.choice(("", "", "n", "r", "s", "t", "l", "nd", "th", "ng"))
+        parts.append(dice.choice("b c d f g h j k l m n p r s t v w z th sh ch tr st".split()) + dice.choice("aeiou") + ends)
+    return "".join(parts)
+
+
+def labelled_urls(seed: int = 5, rows: int = 3000) -> list[tuple[str, int]]:
+    """The built-in table (url, 1 for block): `rows` rows made by rule from invented hosts.
+
+    One half are clean hosts, a quarter spam hosts; a sixteenth are clean hosts with
+    a spam path. Every kind draws subdomain, ending and the other path alike.
+    """
+    dice = random.Random(seed)
+
+    def host(spam: bool) -> str:
+        if spam:
+            # The two words differ, so that no listed name is found by heart.
+            words = dice.sample(_SPAM_WORDS, dice.choice((1, 2, 2, 2, 3)))
+            if len("".join(words)) < 4:
+                words.append(dice.choice(_SPAM_WORDS))
+            core = dice.choice(("-", "-", "")).join(words)
+        elif dice.random() < 0.5:
+            core = _name(dice) + dice.choice(("", "", "-" + _name(dice)))
+        else:
+            core = dice.choice(("-", "-", "")).join(dice.sample(_CLEAN_WORDS, dice.choice((1, 2, 2))))
+        return f"{dice.choice(_SUBDOMAINS)}{core}.{dice.choice(_ENDINGS)}"
+
+    def path() -> str:
+        if dice.random() < 0.5:
+            return dice.choice(_CLEAN_PATHS)
+        return f"/{dice.choice(_LANGUAGES)}/{dice.randint(1, 9999)}" + dice.choice(("", "/", ".html", "?page=2", "#top"))
+
+    found = []
+    for i in range(rows):
+        kind = i % 16
+        if kind < 5:
+            found.append((f"{dice.choice(('http', 'https'))}://{host(True)}{path()}", 1))
+        elif kind == 5:
+            found.append((f"https://{host(False)}{dice.choice(_SPAM_PATHS)}", 1))
+        else:
+            found.append((f"{dice.choice(('http', 'https'))}://{host(False)}{path()}", 0))
+    return found
 
 
 def parse(url: str | None) -> tuple[str, str]:

@@ -153,6 +153,43 @@ def test_url_model_learns():
     assert model.score(*url_filter.parse("https://www.garden.example/en/articles/7")) <= 0
 
 
+def test_url_model_on_hosts_it_has_not_seen():
+    model = url_filter.default_model()
+    seen = {url_filter.parse(u)[0] for u, _ in url_filter.labelled_urls()}
+    other = [(u, y) for u, y in url_filter.labelled_urls(seed=6) if url_filter.parse(u)[0] not in seen]
+    for label in (0, 1):
+        rows = [u for u, y in other if y == label]
+        right = sum((model.score(*url_filter.parse(u)) > 0) == bool(label) for u in rows)
+        assert len(rows) > 300 and right >= 0.9 * len(rows)
+
+
+@pytest.mark.parametrize("size", ["0.01", "0.1"])
+def test_url_model_blocks_spam_pages(spark, size):
+    spam = ("casino-win", "free-bets", "cheap-pills", "adult-x", "spam-farm", "ads-track")
+    rows = url_filter.judge(spark.read.parquet(f"/root/testdata/sf{size}/pages.parquet")).where("rule IS NULL").collect()
+    seen = {url_filter.parse(u)[0] for u, _ in url_filter.labelled_urls()}
+    assert not seen & {r.host for r in rows}
+    bad = [r.verdict for r in rows if any(s in r.host for s in spam)]
+    good = [r.verdict for r in rows if not any(s in r.host for s in spam)]
+    assert bad and bad.count("block") >= 0.9 * len(bad) and good.count("block") <= 0.02 * len(good)
+
+
+def test_url_table_is_balanced():
+    """Neither the ending, the subdomain nor the language path decides."""
+    rows = [(url_filter.parse(u), y) for u, y in url_filter.labelled_urls()]
+    for there in (lambda h, p: h.endswith(".example.com"), lambda h, p: h.startswith("www."), lambda h, p: p.startswith("/en/")):
+        shares = [sum(y for (h, p), y in rows if there(h, p) == x) / sum(there(h, p) == x for (h, p), _ in rows) for x in (True, False)]
+        assert abs(shares[0] - shares[1]) < 0.12
+
+
+def test_very_long_urls(spark):
+    urls = ["https://" + "ab-" * 40_000 + ".example.org/fr/" + "x/" * 40_000, "http://" + "é" * 30_000, "://", ""]
+    frame = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    model = url_filter.default_model()
+    for row in url_filter.judge(frame).collect():
+        assert row.score == model.score(*url_filter.parse(urls[row.page_id]))
+
+
 # ---- sharding ----
 
 @pytest.mark.parametrize("limit", [1, 1000, 40_000])
