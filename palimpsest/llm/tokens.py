@@ -52,6 +52,24 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return found
 
 
+def cut_words(texts: pa.Array, blank: np.ndarray) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray]:
+    """(words as numbers and distinct words, each word's first byte, each text's first byte, with the end).
+
+    Words are what stands between the bytes that `blank` marks, and end with their text.
+    """
+    data, at = _bytes_of(texts)
+    solid = ~blank[data]
+    opens = solid.copy()
+    opens[1:] &= ~solid[:-1]
+    firsts = at[:-1][at[:-1] < at[1:]]
+    opens[firsts] = solid[firsts]
+    begin = np.flatnonzero(opens)
+    packed = data[solid]
+    offsets = np.append(np.cumsum(solid, dtype=np.int32)[begin] - 1, np.int32(len(packed))).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(begin), pa.py_buffer(offsets), pa.py_buffer(packed))
+    return words.dictionary_encode(), begin, at
+
+
 class WordEncoder:
     """Encodes texts as uint32 ids.
 
@@ -134,18 +152,9 @@ class WordEncoder:
 
     def encode_chunk(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, each text's first place, with the end)."""
-        data, at = _bytes_of(texts)
-        solid = ~_BLANK[data]
-        opens = solid.copy()
-        opens[1:] &= ~solid[:-1]
-        firsts = at[:-1][at[:-1] < at[1:]]
-        opens[firsts] = solid[firsts]
-        begin = np.flatnonzero(opens)
+        words, begin, at = cut_words(texts, _BLANK)
         if not len(begin):
             return np.zeros(0, "<u4"), np.zeros(len(texts) + 1, np.int64)
-        packed = data[solid]
-        offsets = np.append(np.cumsum(solid, dtype=np.int32)[begin] - 1, np.int32(len(packed)))
-        words = pa.StringArray.from_buffers(len(begin), pa.py_buffer(offsets), pa.py_buffer(packed)).dictionary_encode()
         pool, starts, sizes = self._distinct(words.dictionary)
         code = words.indices.to_numpy()
         ids = pool[_ranges(starts[code].ravel(), sizes[code].ravel())]

@@ -1,10 +1,12 @@
 """Operators that SQL can't say: round trips, brute force and held-out accuracy."""
 
 import math
+import re
 import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -303,3 +305,59 @@ def test_classifier_without_labels(spark, table):
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     scores = {round(r.score, 9) for r in quality_classifier.report(table, none).collect()}
     assert scores == {0.5}
+
+
+def test_classifier_hashes_like_plain_python():
+    """Words and n-grams counted one by one, and blocks of any size give the same."""
+    def mixed(x):
+        whole = 2**64 - 1
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & whole
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & whole
+        return x ^ (x >> 31)
+
+    def slow(text):
+        counts, before = {}, None
+        for word in re.findall(r"[^\x20\x09-\x0D]+", text or ""):
+            marked, found = f"<{word}>", []
+            found.append(mixed(sum(mixed((ord(c) + i * 0x9E3779B97F4A7C15) % 2**64) for i, c in enumerate(marked)) % 2**64))
+            for n in quality_classifier.NGRAMS:
+                for i in range(len(marked) - n + 1):
+                    h = 0
+                    for c in marked[i : i + n]:
+                        h = (h * 0x9E3779B97F4A7C15 + ord(c)) % 2**64
+                    found.append(mixed((h + n) % 2**64))
+            if word == before:
+                found += [mixed(2)] * quality_classifier.REPEAT_WEIGHT
+            before = word
+            for h in found:
+                counts[h % quality_classifier.BUCKETS] = counts.get(h % quality_classifier.BUCKETS, 0) + 1
+        return counts
+
+    for text in (*ODD, "a a a b b", "the same same words"):
+        assert dict(zip(*(x.tolist() for x in quality_classifier.features(text)))) == slow(text)
+
+
+def test_classifier_in_small_blocks(monkeypatch):
+    whole = [quality_classifier.features(t) for t in ODD]
+    scorer = quality_classifier.Scorer(quality_classifier.QualityModel(np.random.default_rng(1).standard_normal(quality_classifier.BUCKETS), 0.25))
+    scores = [scorer.score(t) for t in ODD]
+    assert scorer.score_all(pa.array([t or "" for t in ODD])).tolist() == scores
+    for size in (1, 7, 64):
+        monkeypatch.setattr(quality_classifier, "BLOCK_CHARS", size)
+        for text, (buckets, counts), score in zip([t if len(t or "") < 1000 else "x y " * 9 for t in ODD], whole, scores):
+            if text in ODD:
+                again = quality_classifier.features(text)
+                assert again[0].tolist() == buckets.tolist() and again[1].tolist() == counts.tolist() and scorer.score(text) == score
+
+
+def test_classifier_sample_is_bounded_and_ordered(spark, table):
+    """Repeated ids count once, with their least text, and neither order nor partitioning matters."""
+    labels = table.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    rows = quality_classifier.training_rows(table, labels)
+    plain = lambda found: [(b.tolist(), c.tolist(), y) for b, c, y in found]
+    hot = table.where("doc_id = 1").withColumn("text", F.concat(F.col("text"), F.lit(" z"))).crossJoin(spark.range(5000)).drop("id")
+    again = quality_classifier.training_rows(table.unionByName(hot).repartition(7), labels)
+    assert plain(again) == plain(rows)
+    few = quality_classifier.training_rows(table, labels, sample_bytes=sum(8 * len(b) for b, _, _ in rows[:10]))
+    assert plain(few) == plain(rows[:10])
+    assert plain(quality_classifier.training_rows(table, labels, sample_rows=7)) == plain(rows[:7])
