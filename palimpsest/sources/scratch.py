@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
 import uuid
 
@@ -11,13 +13,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is the session's ``spark.checkpoint.dir``; only where that is unset, as
-    in local tests, a temporary folder takes its place.
+    It is the session's ``spark.checkpoint.dir``. Only with a local master, as in
+    tests, a temporary folder takes its place; a cluster's executors couldn't see it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = getattr(spark.sparkContext, "_palimpsest_shared_dir", None)
         if base is None:
+            master = spark.sparkContext.master
+            if not re.match(r"local($|\[)", master):
+                raise RuntimeError(f"spark.checkpoint.dir must name a folder that the executors of {master} share")
             base = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
             spark.sparkContext._palimpsest_shared_dir = base
     return base.rstrip("/")
@@ -30,11 +35,42 @@ def shared_path(spark: SparkSession, tag: str) -> str:
 def saved(df: DataFrame, tag: str) -> DataFrame:
     """`df` written as Parquet in the shared folder and read again.
 
-    This cuts the lineage with files that outlive any executor.
+    This cuts the lineage with files that outlive any executor. They stay until
+    `remove_saved` or the end of the driver's process.
     """
-    path = shared_path(df.sparkSession, tag)
+    spark = df.sparkSession
+    path = shared_path(spark, tag)
+    _made(spark).append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._palimpsest_path = path
+    return found
+
+
+def _made(spark: SparkSession) -> list[str]:
+    """Paths that this process has made; those that are left are removed when it ends."""
+    made = getattr(spark.sparkContext, "_palimpsest_made", None)
+    if made is None:
+        made = spark.sparkContext._palimpsest_made = []
+        atexit.register(_remove_all, spark, made)
+    return made
+
+
+def _remove_all(spark: SparkSession, made: list[str]) -> None:
+    for path in made:
+        try:
+            remove_path(spark, path)
+        except Exception:  # noqa: BLE001  the session may have ended; then its folder's owner cleans up
+            return
+
+
+def remove_saved(df: DataFrame) -> None:
+    """Removes the files of a frame that `saved` gave and that nothing will read again."""
+    path = df._palimpsest_path
+    made = _made(df.sparkSession)
+    if path in made:
+        made.remove(path)
+    remove_path(df.sparkSession, path)
 
 
 def hadoop_path(spark: SparkSession, path: str):

@@ -11,6 +11,8 @@ from palimpsest.functions import quant, text
 from palimpsest.functions.crypto import KeyRing
 from palimpsest.operators import ann, bm25, fusion, graph, knn, scoring, similarity, versions
 from palimpsest.operators.components import connected_components
+from palimpsest.operators.spread import join_large_keys, with_least
+from palimpsest.sources.scratch import hadoop_path, remove_saved, saved, shared_dir
 
 VECTORS = "rowid bigint, vector array<float>"
 
@@ -257,3 +259,59 @@ def test_key_ring(spark):
     for ring in (old, new):
         back = rows.select("t", ring.encrypt(F.col("t")).alias("c")).select("t", "c", new.decrypt(F.col("c")).alias("back")).collect()
         assert [r.back for r in back] == ["secret", None] and back[0].c.key_id == ring.active
+
+
+def test_least_and_joins_of_keys_with_many_rows(spark):
+    """A key with two thirds of all rows, a null value and a key of one row."""
+    pairs = [(1, 10_000 + i) for i in range(3000)] + [(2 + i % 500, i) for i in range(1500)] + [(9000, None)]
+    rows = spark.createDataFrame(pairs, "k bigint, v bigint").repartition(5)
+    least = {}
+    for k, v in pairs:
+        least[k] = min(least.get(k, 10**9), 10**9 if v is None else v)
+    got = with_least(rows, "k", "v", "low").collect()
+    assert sorted((r.k, -1 if r.v is None else r.v) for r in got) == sorted((k, -1 if v is None else v) for k, v in pairs)
+    assert all(r.low == (None if r.k == 9000 else least[r.k]) for r in got)
+    table = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("v").alias("high"))
+    joined = join_large_keys(rows, table.where("k <> 3"), ["k"], "n", len(pairs), F.col("v"))
+    assert sorted(joined.columns) == ["high", "k", "v"]
+    assert sorted((r.k, -1 if r.v is None else r.v) for r in joined.collect()) == sorted((k, -1 if v is None else v) for k, v in pairs if k != 3)
+    # The key's rows are spread over many tasks, where tasks are neither joined nor saved by a broadcast.
+    off = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {name: spark.conf.get(name) for name in off}
+    for name, value in off.items():
+        spark.conf.set(name, value)
+    try:
+        for frame in (with_least(rows, "k", "v", "low"), join_large_keys(rows, table, ["k"], "n", len(pairs), F.col("v"))):
+            assert frame.where("k = 1").select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def test_components_around_a_hub(spark):
+    """A node with very many neighbours, below and above it, joined to a chain."""
+    pairs = [(5000, i) for i in range(1000, 3000)] + [(5000, i) for i in range(6000, 8000)] + [(2999, 1), (7999, 9000), (9001, 9002)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()}
+    assert {n for n, c in got.items() if c == 1} == {x for p in pairs[:-1] for x in p} and got[9002] == 9001
+
+
+def test_shared_folder_is_required_on_clusters(spark, monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        sparkContext = Context()
+        conf = spark.conf
+
+    if spark.conf.get("spark.checkpoint.dir", None):
+        pytest.skip("the session names a folder")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(Session())
+
+
+def test_saved_frames_can_be_removed(spark):
+    frame = saved(spark.range(10), "test")
+    files, path = hadoop_path(spark, frame._palimpsest_path)
+    assert frame.count() == 10 and files.exists(path)
+    remove_saved(frame)
+    assert not files.exists(path)
