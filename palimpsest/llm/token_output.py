@@ -8,10 +8,15 @@ little-endian uint32 ids, cut only between documents. The frame before the
 seek table lists the documents (id, first id's place, number of ids, data
 frame), so a reader decompresses just the frames of the documents it wants.
 
-Defined results: a null text counts as empty and gives the end id alone; rows
-with a null doc_id come first; repeated doc_ids each keep their row, in
-unspecified order among themselves; an empty table gives no documents. Extra
-columns are ignored.
+A file is closed at `FILE_BYTES` of ids or `FILE_DOCUMENTS` documents, whichever
+comes first, so that neither a list of documents nor a seek table grows with the
+table; a frame holds `FRAME_BYTES` or one document.
+
+Defined results: a null text counts as empty and gives the end id alone; a text of
+any length is encoded whole, into one frame; rows with a null doc_id come first;
+repeated doc_ids each keep their row, in unspecified order among themselves, and
+may lie in several files; an empty table gives no documents. Extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +38,11 @@ from palimpsest.llm.tokens import encoder
 
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC, HAS_CHECKSUM = 0x184D2A5E, 0x8F92EAB1, 0x80
 FRAME_BYTES = 1 << 20
+#: Limits of a file.
+FILE_BYTES = 256 << 20
+FILE_DOCUMENTS = 1 << 20
+#: A task gets about so many bytes of the input, as its plan estimates them.
+TASK_BYTES = 128 << 20
 LEVEL = 1
 END_ID = 2
 #: doc_id (with a flag for null), place of the first id, number of ids, data frame.
@@ -52,19 +62,27 @@ class FrameWriter:
         self.stream, self.frame_bytes = stream, frame_bytes
         self.packer = zstandard.ZstdCompressor(level=level)
         self.frames: list[tuple[int, int, int]] = []
-        self.documents: list[tuple] = []
+        self.listed: list[np.ndarray] = []
+        self.recent: list[tuple] = []
         self.parts: list[bytes] = []
-        self.held = self.ids = 0
+        self.held = self.ids = self.documents = 0
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
         n = len(ids) // 4
-        self.documents.append((doc_id or 0, doc_id is not None, len(self.frames), self.ids, n))
+        self.recent.append((doc_id or 0, doc_id is not None, len(self.frames), self.ids, n))
+        if len(self.recent) == 4096:
+            self._pack()
+        self.documents += 1
         self.ids += n
         self.parts.append(ids)
         self.held += len(ids)
         if self.held >= self.frame_bytes:
             self.flush()
 
+    def _pack(self) -> None:
+        self.listed.append(np.array(self.recent, DOCUMENT))
+        self.recent = []
+
     def _frame(self, raw: bytes) -> None:
         packed = self.packer.compress(raw)
         self.stream.write(packed)
@@ -77,7 +95,8 @@ class FrameWriter:
 
     def close(self) -> None:
         self.flush()
-        self._frame(np.array(self.documents, DOCUMENT).tobytes())
+        self._pack()
+        self._frame(np.concatenate(self.listed).tobytes())
         entries = b"".join(struct.pack("<III", *frame) for frame in self.frames)
         size = len(entries) + 9
         self.stream.write(struct.pack("<II", SKIPPABLE_MAGIC, size) + entries)
@@ -120,42 +139,60 @@ class FrameReader:
             yield d, raw[at : at + 4 * int(d["n"])]
 
 
-def write(docs: DataFrame, path: str, vocabulary: str, text: str = "text", end_id: int = END_ID, partitions: int | None = None) -> list[tuple[int, str, int, int]]:
+def tasks_for(docs: DataFrame) -> int:
+    """Tasks of about `TASK_BYTES` of input each, by the plan's own estimate, and no fewer than shuffles have."""
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    # Frames that aren't read from files have no estimate but a placeholder beyond any size.
+    return least if size >= 1 << 60 else max(least, -(-size // TASK_BYTES))
+
+
+def write(
+    docs: DataFrame, path: str, vocabulary: str, text: str = "text", end_id: int = END_ID, partitions: int | None = None,
+    file_bytes: int = FILE_BYTES, file_documents: int = FILE_DOCUMENTS,
+) -> list[tuple[int, int, str, int, int]]:
     """Writes the ids of all documents under `path`, in ascending doc_id order.
 
-    Documents are range-partitioned by doc_id and sorted; each task streams its
-    range to one file, so memory holds one frame. A task writes under a name
-    of its own and moves the file into place when complete, so attempts that
-    are lost or repeated leave no half files. Returns the manifest: (range,
-    file, documents, ids) for each file; only counts travel to the driver.
+    Documents are dealt out in ranges of doc_id, rows of one doc_id by a hash too, so
+    that an id with very many rows spans ranges. Each task streams its range to
+    files, one after the other; memory holds one frame and a file's list of
+    documents. Every attempt of a task writes files of names of its own, and only the
+    manifest says which count, so attempts that are lost or repeated do no harm.
+    Returns the manifest: (range, number, file, documents, ids) for each file; only
+    that travels to the driver, one row for `file_bytes` of ids or `file_documents`.
     """
-    spark = docs.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    ranged = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    n = partitions or tasks_for(docs)
+    spread = F.xxhash64(F.monotonically_increasing_id()).alias("spread")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"), spread)
+    ranged = rows.repartitionByRange(n, "doc_id", "spread").sortWithinPartitions("doc_id", "spread").select("doc_id", "text")
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        number = TaskContext.get().partitionId()
+        task = TaskContext.get().partitionId()
         filesystem, folder = _filesystem(path)
-        part = f"{folder}/.{number:06d}-{uuid.uuid4().hex}"
-        final = f"{folder}/part-{number:06d}.tok"
         words, end = encoder(vocabulary), struct.pack("<I", end_id)
-        with filesystem.open_output_stream(part) as stream:
-            writer = FrameWriter(stream)
-            for batch in batches:
-                for doc_id, ids in zip(batch.column("doc_id").to_pylist(), words.encode_all(batch.column("text"))):
-                    writer.add(doc_id, ids + end)
-            writer.close()
-        filesystem.move(part, final)
-        yield pa.RecordBatch.from_pydict(
-            {"part": pa.array([number], pa.int32()), "file": [final], "docs": [len(writer.documents)], "ids": [writer.ids]}
-        )
+        rows = ((d, ids) for b in batches for d, ids in zip(b.column("doc_id").to_pylist(), words.encode_all(b.column("text"))))
+        number, row, attempt = 0, next(rows, None), uuid.uuid4().hex
+        while row is not None:
+            file = f"{folder}/part-{task:06d}-{number:06d}-{attempt}.tok"
+            with filesystem.open_output_stream(file) as stream:
+                writer = FrameWriter(stream)
+                while row is not None and 4 * writer.ids < file_bytes and writer.documents < file_documents:
+                    writer.add(row[0], row[1] + end)
+                    row = next(rows, None)
+                writer.close()
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "part": pa.array([task], pa.int32()), "number": pa.array([number], pa.int32()), "file": [file],
+                    "docs": [writer.documents], "ids": [writer.ids],
+                }
+            )
+            number += 1
 
     _filesystem(path)[0].create_dir(_filesystem(path)[1], recursive=True)
-    made = ranged.mapInArrow(store, "part int, file string, docs bigint, ids bigint").collect()
-    return sorted((r.part, r.file, r.docs, r.ids) for r in made)
+    made = ranged.mapInArrow(store, "part int, number int, file string, docs bigint, ids bigint").collect()
+    return sorted((r.part, r.number, r.file, r.docs, r.ids) for r in made)
 
 
 _READ = T.StructType(
@@ -163,15 +200,14 @@ _READ = T.StructType(
 )
 
 
-def read_back(spark: SparkSession, path: str, manifest: list[tuple[int, str, int, int]]) -> DataFrame:
+def read_back(spark: SparkSession, path: str, manifest: list[tuple[int, int, str, int, int]]) -> DataFrame:
     """Per document: place of its first id among all ids, number of ids and their CRC-32.
 
     One row per file goes out to the tasks, with the ids in all files before it.
     """
     starts, total = [], 0
-    for _, file, count, ids in manifest:
-        if count:
-            starts.append((file, total))
+    for _, _, file, _, ids in manifest:
+        starts.append((file, total))
         total += ids
     files = spark.createDataFrame(starts, "file string, before bigint").repartition(max(1, len(starts)))
 
