@@ -1,13 +1,17 @@
 """Personal data: patterns propose spans, checksums confirm, context scores.
 
 Only DataFrame expressions run here. A span is (start, end, kind) in code
-points, end exclusive. Defined results: a null or empty text has no spans;
-overlapping kinds are all reported; repeated rows are judged alike; other
-columns of the input, whatever their names, pass through untouched.
+points, end exclusive. Secrets count as personal data: access keys of known formats,
+and long runs of letters and digits near a word such as "token". Defined results: a
+null or empty text has no spans; a text of any length is searched whole; an empty
+table gives an empty result; overlapping kinds are all reported, by start and then
+as listed; repeated rows are judged alike; other columns of the input, whatever
+their names, pass through untouched.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -78,6 +82,12 @@ def _is_ssn(found: Column) -> Column:
     return ~found.rlike(r"\A(?:000|666|9[0-9]{2})-|-00-|-0000\z")
 
 
+def _is_mixed(found: Column) -> Column:
+    """Letters and digits: neither a word nor a number."""
+    return found.rlike("[0-9]") & found.rlike("[A-Za-z]")
+
+
+#: The fixed formats of common services' access keys are among the patterns.
 KINDS = (
     Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
          lambda c: F.lit(True), 85, "(?i)mail|contact|kontakt|correo|courriel"),
@@ -89,10 +99,15 @@ KINDS = (
          _is_iban, 85, "(?i)iban|account|bank|konto|compte|cuenta", base=False),
     Kind("ssn", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
          _is_ssn, 40, "(?i)ssn|social security", base=False),
+    Kind("key", r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}"
+         r"|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
+         _is_mixed, 80, "(?i)token|secret|passw|api|key|auth|bearer", base=False),
+    Kind("token", r"(?:\G|(?<![A-Za-z0-9]))[A-Za-z0-9]{32,}+",
+         _is_mixed, 40, "(?i)token|secret|passw|api|key|auth|bearer", base=False),
 )
 #: An added span is reported from this score on.
 MIN_SCORE = 50
-#: Context words count within so many code points before a span.
+#: Context words count within so many code points before or after a span.
 CONTEXT_CHARS = 40
 
 _SPAN = "struct<s:int,k:int,e:int,score:int>"
@@ -111,10 +126,12 @@ def _kind_spans(text: Column, number: int, kind: Kind, min_score: int) -> Column
                 text_i = F.get(found, i)
                 start = state["at"] + F.length(F.get(gaps, i))
                 end = start + F.length(text_i)
-                near = F.substring(
+                before = F.substring(
                     text, F.greatest(start - CONTEXT_CHARS, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT_CHARS))
                 )
-                score = F.lit(kind.score) + F.when(near.rlike(kind.context), kind.bonus).otherwise(0)
+                after = F.substring(text, end + 1, F.lit(CONTEXT_CHARS))
+                near = before.rlike(kind.context) | after.rlike(kind.context)
+                score = F.lit(kind.score) + F.when(near, kind.bonus).otherwise(0)
                 wanted = kind.confirm(text_i)
                 if not kind.base:
                     wanted = wanted & (score >= min_score)
@@ -179,6 +196,8 @@ def report(docs: DataFrame) -> DataFrame:
         F.sha2(_listed(F.filter("spans", lambda x: x["k"] <= max(base))), 256).alias("base_sha256"),
         _listed(F.col("spans")).alias("spans"),
         F.array_join(F.transform("spans", lambda x: x["score"].cast("string")), ",").alias("scores"),
+        *(count(i) for i in range(len(KINDS)) if i not in base),
+        F.size("spans").cast("long").alias("n_spans"),
     )
 
 
@@ -215,8 +234,8 @@ def redact(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars")
 
 
 def _sql_regex(kind: Kind) -> str:
-    plain = kind.pattern.replace(r"(?:\G|(?<![A-Za-z0-9._%+-]))", "").replace(r"(?:\G|(?<![0-9]))", "")
-    return plain.replace("++", "+")
+    plain = re.sub(r"^\(\?:\\G\|\(\?<!\[[^\]]*\]\)\)", "", kind.pattern)
+    return plain.replace("++", "+").replace("}+", "}")
 
 
 def _sql() -> str:
@@ -243,11 +262,15 @@ def _sql() -> str:
         "phone": f"length({digits}) BETWEEN 9 AND 15",
         "iban": f"length({plain}) <= 34 AND {mod97}",
         "ssn": r"NOT regexp_matches(m, '^(?:000|666|9[0-9]{2})-|-00-|-0000$')",
+        "key": "regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]')",
+        "token": "regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]')",
     }
     parts = []
     for i, k in enumerate(KINDS):
         regex = _sql_regex(k)
-        score = f"{k.score} + CASE WHEN regexp_matches(substr(t, greatest(s - {CONTEXT_CHARS}, 0) + 1, least(s, {CONTEXT_CHARS})), '{k.context}') THEN {k.bonus} ELSE 0 END"
+        before = f"substr(t, greatest(s - {CONTEXT_CHARS}, 0) + 1, least(s, {CONTEXT_CHARS}))"
+        after = f"substr(t, s + length(m) + 1, {CONTEXT_CHARS})"
+        score = f"{k.score} + CASE WHEN regexp_matches({before}, '{k.context}') OR regexp_matches({after}, '{k.context}') THEN {k.bonus} ELSE 0 END"
         keep = confirm[k.name] + ("" if k.base else f" AND {score} >= {MIN_SCORE}")
         parts.append(
             f"SELECT r, {i} AS k, '{k.name}' AS kind, s, s + length(m) AS e, {score} AS score FROM ("
@@ -256,9 +279,7 @@ def _sql() -> str:
             f"SELECT r, t, ms, gs, unnest(range(1, len(ms) + 1)) AS i FROM ("
             f"SELECT r, t, regexp_extract_all(t, '{regex}') AS ms, string_split_regex(t, '{regex}') AS gs FROM d) WHERE len(ms) > 0)) WHERE {keep}"
         )
-    counts = ", ".join(
-        f"CAST(count(*) FILTER (WHERE k = {i}) AS BIGINT) AS n_{k.name}" for i, k in enumerate(KINDS) if k.base
-    )
+    counts = ", ".join(f"CAST(count(*) FILTER (WHERE k = {i}) AS BIGINT) AS n_{k.name}" for i, k in enumerate(KINDS))
     item = "kind || ':' || s || ':' || e"
     last = max(i for i, k in enumerate(KINDS) if k.base)
     return (
@@ -266,7 +287,7 @@ def _sql() -> str:
         f"x AS ({' UNION ALL '.join(parts)}) "
         f"SELECT doc_id, {counts}, sha256(coalesce(string_agg({item}, ',' ORDER BY s, k, e) FILTER (WHERE k <= {last}), '')) AS base_sha256, "
         f"coalesce(string_agg({item}, ',' ORDER BY s, k, e), '') AS spans, "
-        "coalesce(string_agg(CAST(score AS VARCHAR), ',' ORDER BY s, k, e), '') AS scores "
+        "coalesce(string_agg(CAST(score AS VARCHAR), ',' ORDER BY s, k, e), '') AS scores, CAST(count(k) AS BIGINT) AS n_spans "
         "FROM d LEFT JOIN x USING (r) GROUP BY r, doc_id"
     )
 
