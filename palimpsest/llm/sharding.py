@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from palimpsest.llm.common import fresh, saved
 
 LIMIT_BYTES = 16 << 20
+#: The query's limit: so small that tables of any size split, at several depths.
+REPORT_BYTES = 256 << 10
 #: Bits of the key's hash, then of the row's.
 KEY_BITS = 60
 STEP_BITS = 8
@@ -105,12 +107,12 @@ def write_shards(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
     return docs.sparkSession.read.parquet(path)
 
 
-def report(docs: DataFrame, limit: int = LIMIT_BYTES) -> DataFrame:
+def report(docs: DataFrame, limit: int = REPORT_BYTES) -> DataFrame:
     """Per document its shard."""
     return assign(docs, limit=limit, columns=["doc_id"])
 
 
-def oracle_sql(limit: int = LIMIT_BYTES) -> str:
+def oracle_sql(limit: int = REPORT_BYTES) -> str:
     return f"""
 WITH d AS (SELECT doc_id, coalesce(strlen(text), 0) AS n,
              lpad(to_binary(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT)), {KEY_BITS}, '0') AS path
