@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from palimpsest.sources.scratch import remove_path, saved, shared_dir, shared_path
+from palimpsest.sources.scratch import remove_path, remove_saved, saved, shared_dir, shared_path
 
 #: Character class of the word separators (ASCII blanks): [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\f\r"

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from palimpsest.llm.common import BLANKS, fresh, saved, text_or_empty
-from palimpsest.llm.tokens import _bytes_of, _ranges, cut_words
+from palimpsest.llm.tokens import _bytes_of, _ranges, cut_words, plain_texts, release_memory
 
 BUCKETS = 1 << 16
 DIMENSIONS = 16
@@ -39,9 +39,9 @@ THRESHOLD = 0.7
 #: A repeated word weighs like so many n-grams, of which a text has many more.
 REPEAT_WEIGHT = 10
 #: Texts are scored together up to so many bytes; a longer text goes alone.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 #: N-grams are hashed in blocks of so many characters.
-BLOCK_CHARS = 1 << 19
+BLOCK_CHARS = 1 << 17
 #: Scores are sums of margins as multiples of this, so they don't depend on any order.
 UNIT = 2.0**-24
 _BLANK = np.isin(np.arange(256), [ord(c) for c in BLANKS])
@@ -256,7 +256,7 @@ def score_column(text: Column, model: QualityModel, spark) -> Column:
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(shared.value)
         for texts in batches:
-            texts = texts.cast(pa.string()).fill_null("")
+            texts = plain_texts(texts)
             _, at = _bytes_of(texts)
             found, row = [np.zeros(0)], 0
             while row < len(texts):
@@ -264,6 +264,7 @@ def score_column(text: Column, model: QualityModel, spark) -> Column:
                 found.append(scorer.score_all(texts.slice(row, to - row)))
                 row = to
             yield pa.array(np.concatenate(found), pa.float64())
+        release_memory()
 
     return F.arrow_udf(scored, "double")(text)
 

@@ -38,7 +38,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from palimpsest.llm.tokens import _bytes_of, _ranges, vocabulary_path
+from palimpsest.llm.tokens import _bytes_of, _ranges, plain_texts, vocabulary_path
 
 MODEL = "piece_bpe_32k.model"
 DROPOUT = 0.1
@@ -565,7 +565,7 @@ def encoder(path: str) -> MergeEncoder:
 
 def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, pa.Array]]:
     """(doc_id, text) of consecutive rows, together of about `CHUNK_BYTES` bytes or one row; null texts are empty."""
-    texts = batch.column("text").cast(pa.string()).fill_null("")
+    texts = plain_texts(batch.column("text"))
     _, at = _bytes_of(texts)
     row = 0
     while row < len(texts):

@@ -6,6 +6,7 @@ parameter of every operator that needs one.
 
 from __future__ import annotations
 
+import ctypes
 import os
 from collections.abc import Iterator
 from functools import lru_cache
@@ -43,6 +44,23 @@ def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def plain_texts(column: pa.Array) -> pa.Array:
+    """A text column without nulls, copied only where it has any or is of another type."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    column = column if column.type == pa.string() else column.cast(pa.string())
+    return column.fill_null("") if column.null_count else column
+
+
+def release_memory() -> None:
+    """Gives free memory back to the system: idle Python workers would keep what a task took."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The places starts[i], starts[i] + 1, ... (sizes[i] of them) of all i in a row."""
     ends = np.cumsum(sizes, dtype=np.int64)
@@ -163,9 +181,7 @@ class WordEncoder:
 
     def encode_all(self, texts: pa.Array) -> Iterator[bytes]:
         """Ids of each text as little-endian bytes; a null text has none."""
-        if isinstance(texts, pa.ChunkedArray):
-            texts = texts.combine_chunks()
-        texts = texts.cast(pa.string()).fill_null("")
+        texts = plain_texts(texts)
         ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
         at = 0
         while at < len(texts):

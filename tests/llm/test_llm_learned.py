@@ -61,6 +61,34 @@ def test_token_files(spark, table, texts, ids_of):
         start += len(ids)
 
 
+def test_token_files_close_at_their_limits(spark, ids_of, tmp_path):
+    """Many files a task; an id, and null, with very many rows; ids still start where the ones before end."""
+    texts = [f"row {i} " * (i % 13) for i in range(120)] + [None, ""]
+    ids = [None] * 30 + [5] * 50 + list(range(42))
+    frame = spark.createDataFrame(list(zip(ids, texts)), "doc_id bigint, text string").repartition(5)
+    made = token_output.write(frame, f"file://{tmp_path}/tokens", vocabulary_path(), partitions=4, file_bytes=400, file_documents=7)
+    assert len(made) > 17 and sum(m[3] for m in made) == len(ids) and all(m[3] <= 7 for m in made)
+    hot = [m for m in made if m[0] == made[0][0]]
+    assert sum(m[3] for m in hot) < 60  # neither null nor 5 alone fills a range of its own with the rest
+    got = sorted(token_output.read_back(spark, f"file://{tmp_path}/tokens", made).collect(), key=lambda r: r.start)
+    at = 0
+    for r in got:
+        assert r.start == at
+        at += r.n_tokens
+    keys = [(r.doc_id is not None, r.doc_id or 0) for r in got]
+    assert keys == sorted(keys)
+    want = sorted((i is not None, i or 0, crc(ids_of(t) + [2])) for i, t in zip(ids, texts))
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.ids_crc32) for r in got) == want
+
+
+def test_tasks_follow_the_input(spark, monkeypatch, table):
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert token_output.tasks_for(table) == least
+    monkeypatch.setattr(token_output, "TASK_BYTES", 10_000)
+    assert token_output.tasks_for(table) > 5 * least
+    assert token_output.tasks_for(spark.createDataFrame([(1, "a")], "doc_id bigint, text string")) <= least
+
+
 def test_reader_takes_only_the_frames_it_needs(tmp_path):
     name = tmp_path / "x.tok"
     with open(name, "wb") as stream:
@@ -218,19 +246,12 @@ def test_links_of_crowded_fingerprints(spark, monkeypatch, key_rows, block_rows)
     assert all(bin(values[place[r.a]] ^ values[place[r.b]]).count("1") <= 4 for r in found)
 
 
-def test_simhash_keeps_one_of_each_group(spark, table, texts):
-    want = brute_components([(d, slow_fingerprint(t)) for d, t in texts.items()])
-    kept = simhash.drop_near_duplicates(table)
-    assert kept.columns == table.columns
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d, c in want.items() if d == c)
-
-
 def test_simhash_odd_rows(spark):
     frame = spark.createDataFrame([(1, "a b c d e", "x", "s", 1), (1, "a b c d e", "y", "s", 1), (None, "a b c d e", "z", "s", 1), (2, None, "x", "s", 0), (3, "  ", "x", "s", 0), (None, None, None, None, None)], DOCS)
     got = {(r.doc_id, r.fingerprint == "0" * 16): r.component_id for r in simhash.report(frame).collect()}
     assert got[(1, False)] == 1 and got[(None, False)] == 1 and got[(2, True)] == got[(3, True)] == got[(None, True)] == 2
     kept = simhash.drop_near_duplicates(frame).collect()
-    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept) == [(False, 1), (False, 2), (True, 0), (True, 0)]
+    assert sorted(r.doc_id for r in kept) == [1, 2]
 
 
 # ---- embeddings ----
@@ -361,3 +382,58 @@ def test_classifier_sample_is_bounded_and_ordered(spark, table):
     few = quality_classifier.training_rows(table, labels, sample_bytes=sum(8 * len(b) for b, _, _ in rows[:10]))
     assert plain(few) == plain(rows[:10])
     assert plain(quality_classifier.training_rows(table, labels, sample_rows=7)) == plain(rows[:7])
+
+
+# ---- both levels of the embedding operator ----
+
+def _clustered(n, dim, seed):
+    """Vectors in groups of all sizes around the threshold, one of them a third of all."""
+    dice = np.random.default_rng(seed)
+    base = dice.standard_normal((n // 3, dim))
+    near = base + dice.standard_normal(base.shape) * dice.uniform(0, 0.45, (len(base), 1))
+    hot = np.repeat(base[:1], n // 3, 0) + 0.12 * dice.standard_normal((n // 3, dim))
+    return np.concatenate([base, near, hot]).astype(np.float32)
+
+
+@pytest.mark.parametrize("cell_rows, bucket_rows", [(10**6, 2048), (10**6, 16), (100, 16), (100, 2048), (37, 8)])
+def test_embedding_levels_against_brute_force(spark, cell_rows, bucket_rows):
+    """One cell, many cells, crowded cells cut into blocks: the same counts but for the planned misses."""
+    dim = 24
+    data = _clustered(600, dim, 4)
+    small = _clustered(30, dim, 5)
+    rows = [(i, v.tolist(), "big") for i, v in enumerate(data)] + [(10_000 + i, v.tolist(), "small") for i, v in enumerate(small)]
+    rows += [(20_000 + i, data[0].tolist(), "big") for i in range(40)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label string").repartition(5)
+    got = {r.vec_id: r for r in embedding_dedup.report(frame, cell_bytes=8 * dim * cell_rows, bucket_rows=bucket_rows).collect()}
+    assert len(got) == len(rows)
+    unit = np.array([v for _, v, _ in rows])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    label = np.array([y for *_, y in rows])
+    near = (unit @ unit.T >= 0.93) & (label[:, None] == label[None, :])
+    np.fill_diagonal(near, False)
+    found = np.array([got[i].n_links for i, *_ in rows])
+    assert (found <= near.sum(axis=1)).all() and found.sum() >= 0.97 * near.sum()
+    if cell_rows == 10**6 and bucket_rows == 2048:
+        assert (found == near.sum(axis=1)).all()
+    full = by_links(len(rows), list(zip(*np.nonzero(near))))
+    right = sum(got[i].component_id == rows[full[k]][0] for k, (i, *_) in enumerate(rows))
+    assert right >= 0.97 * len(rows)
+
+
+def test_embedding_keys_follow_from_the_vector_alone():
+    dice = np.random.default_rng(2)
+    unit = dice.standard_normal((500, 64))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    whole = embedding_dedup.keys(unit, 5, 9)
+    for part in (slice(0, 1), slice(3, 10), slice(100, 487)):
+        assert (embedding_dedup.keys(unit[part], 5, 9) == whole[part]).all()
+    assert (embedding_dedup.keys(unit, 5, 4) == whole[:, :4]).all()
+
+
+def test_embedding_rows_carry_no_keys(spark):
+    """What is dealt to the cells is the vector as it came, and a label that fits one cell is dealt once."""
+    frame = spark.createDataFrame([(i, [float(i), 1.0], 1) for i in range(50)], "node bigint, embedding array<float>, label int")
+    classes = frame.selectExpr("label", "2 AS dim", "node", "1L AS members", "embedding")
+    plan = embedding_dedup.links(classes)._jdf.queryExecution().executedPlan().toString()
+    exchange = [line for line in plan.splitlines() if "Exchange" in line]
+    assert len(exchange) == 1 and "keys" not in plan and "array<double>" not in plan
