@@ -8,9 +8,10 @@ where no window fits. The windows left open are merged in rounds over ever
 fewer tasks in the same way; the very last are cut at powers of two, which
 need no padding.
 
-Defined results: a null text counts as empty and gives the end id alone; an
-empty table gives no pieces; repeated doc_ids are separate documents; extra
-columns are ignored.
+Defined results: a null text counts as empty and gives the end id alone; a text of
+any length is encoded whole and cut; of open windows that a piece fills equally
+well the one opened first takes it; an empty table gives no pieces; repeated or null
+doc_ids are separate documents; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from palimpsest.llm.common import saved
-from palimpsest.llm.tokens import encoder
+from palimpsest.llm.tokens import CACHE_ENTRIES, CHUNK_BYTES, encoder, release_memory
 
 WINDOW = 2048
 OPEN_WINDOWS = 64
 END_ID = 1
+#: Complete windows that a task holds before it passes them on.
+HELD_WINDOWS = 512
 #: Left-over windows that one task of a merge round takes.
 FAN_IN = 2048
 
@@ -132,13 +135,17 @@ def _task(round_: int) -> int:
     return (round_ << ROUND_BITS) | (TaskContext.get().partitionId() << TASK_BITS)
 
 
-def pack(docs: DataFrame, vocabulary: str, text: str = "text", size: int = WINDOW, open_windows: int = OPEN_WINDOWS, end_id: int = END_ID, fan_in: int = FAN_IN) -> DataFrame:
+def pack(
+    docs: DataFrame, vocabulary: str, text: str = "text", size: int = WINDOW, open_windows: int = OPEN_WINDOWS, end_id: int = END_ID, fan_in: int = FAN_IN,
+    cache_entries: int = CACHE_ENTRIES, chunk_bytes: int = CHUNK_BYTES,
+) -> DataFrame:
     """Packs the ids of all documents; one row per piece.
 
     Only pieces' places and checksums leave the tasks, but for the ids of the
     windows left open: at most `open_windows` times `size` ids a task. A merge
     task takes `fan_in` left-over windows; that must be at least twice
-    `open_windows`, or rounds need not get smaller.
+    `open_windows`, or rounds need not get smaller. The encoder's cache and chunks
+    trade time for memory; they never change a result.
     """
     if fan_in < 2 * open_windows:
         raise ValueError("fan_in must be at least twice open_windows")
@@ -146,17 +153,18 @@ def pack(docs: DataFrame, vocabulary: str, text: str = "text", size: int = WINDO
     end = struct.pack("<I", end_id)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, words, base, done = Packer(size, open_windows), encoder(vocabulary), _task(0), 0
+        packer, words, base, done = Packer(size, open_windows), encoder(vocabulary, cache_entries, chunk_bytes), _task(0), 0
         for batch in batches:
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), words.encode_all(batch.column("text"))):
                 ids += end
                 packer.add(doc_id, 0, ids, len(ids) // 4)
-                if len(packer.full) >= 4096:
+                if len(packer.full) >= HELD_WINDOWS:
                     yield _arrow(_rows(packer.full, base + done, False))
                     done += len(packer.full)
                     packer.full = []
         yield _arrow(_rows(packer.full, base + done, False))
         yield _arrow(_rows(packer.close(), base + done + len(packer.full), True))
+        release_memory()
 
     placed = saved(rows.mapInArrow(first, _PIECES), "packed")
     parts = [placed.where("left_over IS NULL")]

@@ -211,9 +211,10 @@ def training_rows(
     if not taken:
         return []
     last = F.struct(F.lit(taken[-1][0]).alias("place"), F.lit(taken[-1][1]).cast(kind).alias("id"))
-    got = found.where(F.struct("place", "id") <= last).collect()
-    got = sorted(got, key=lambda r: (r["place"], r["id"]))
-    return [(np.frombuffer(r["b"], "<i4"), np.frombuffer(r["c"], "<f4"), r["y"]) for r in got]
+    # As Arrow, which the driver holds once instead of as rows of Java and of Python.
+    got = found.where(F.struct("place", "id") <= last).toArrow().sort_by([("place", "ascending"), ("id", "ascending")])
+    values = zip(got.column("b"), got.column("c"), got.column("y").to_pylist())
+    return [(np.frombuffer(b.as_buffer(), "<i4"), np.frombuffer(c.as_buffer(), "<f4"), y) for b, c, y in values]
 
 
 class Scorer:
@@ -270,7 +271,9 @@ def score_column(text: Column, model: QualityModel, spark) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> QualityModel:
-    return train(training_rows(docs, labels, text, sample_rows))
+    model = train(training_rows(docs, labels, text, sample_rows))
+    release_memory()
+    return model
 
 
 def report(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:

@@ -9,7 +9,8 @@ are stored as bit planes, 64 of them to a word; carry-save counters update the
 64 distances at once, plane by plane, and words whose 64 distances all exceed
 the radius are abandoned.
 
-Defined results: a null text has no words and the fingerprint zero; equal
+Defined results: a null text has no words and the fingerprint zero; a text of any
+length is read whole; equal
 fingerprints, exact copies among them, are one node, so a group of copies costs
 one comparison however large it is; a row with a null doc_id takes part, but is
 never a component's smallest id; a component without any id has a null

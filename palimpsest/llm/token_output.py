@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from palimpsest.llm.common import shared_path
-from palimpsest.llm.tokens import encoder
+from palimpsest.llm.tokens import encoder, release_memory
 
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC, HAS_CHECKSUM = 0x184D2A5E, 0x8F92EAB1, 0x80
 FRAME_BYTES = 1 << 20
@@ -189,6 +189,7 @@ def write(
                 }
             )
             number += 1
+        release_memory()
 
     _filesystem(path)[0].create_dir(_filesystem(path)[1], recursive=True)
     made = ranged.mapInArrow(store, "part int, number int, file string, docs bigint, ids bigint").collect()

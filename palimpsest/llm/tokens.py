@@ -98,7 +98,8 @@ class WordEncoder:
     distinct one is encoded once, and the ids are gathered by number.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, cache_entries: int = CACHE_ENTRIES, chunk_bytes: int = CHUNK_BYTES) -> None:
+        self.cache_entries, self.chunk_bytes = cache_entries, chunk_bytes
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -129,7 +130,7 @@ class WordEncoder:
         found = list(map(self.known.get, words))
         places = [i for i, x in enumerate(found) if x is None]
         if places:
-            if len(self.known) > CACHE_ENTRIES:
+            if len(self.known) > self.cache_entries:
                 self.known, self.older = {}, self.known
             known, older = self.known, self.older
             new = [words[i] for i in places]
@@ -185,7 +186,7 @@ class WordEncoder:
         ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
         at = 0
         while at < len(texts):
-            to = max(at + 1, int(np.searchsorted(ends, int(ends[at]) + CHUNK_BYTES, "right")) - 1)
+            to = max(at + 1, int(np.searchsorted(ends, int(ends[at]) + self.chunk_bytes, "right")) - 1)
             ids, places = self.encode_chunk(texts.slice(at, to - at))
             raw, places = ids.tobytes(), (4 * places).tolist()
             for x, y in zip(places, places[1:]):
@@ -197,6 +198,6 @@ class WordEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> WordEncoder:
-    """One encoder for each worker process and vocabulary."""
-    return WordEncoder(path)
+def encoder(path: str, cache_entries: int = CACHE_ENTRIES, chunk_bytes: int = CHUNK_BYTES) -> WordEncoder:
+    """One encoder for each worker process, vocabulary and size."""
+    return WordEncoder(path, cache_entries, chunk_bytes)
