@@ -100,7 +100,8 @@ class Scoring:
     c_norm: int = 100
     floor: float = 0.0
     time_axis: TimeAxis = TimeAxis.VALID_TIME
-    #: Accepted for compatibility: exact search has no routing to bias.
+    #: Accepted for compatibility: neither exact search nor cells have a routing to bias,
+    #: and it never changes scores.
     bias_routing: bool = False
 
     def __post_init__(self) -> None:
@@ -183,14 +184,26 @@ class IndexOptions:
     train_rows: int = 20_000
     seed: int = 42
     rescore_oversample: int = 4
-    quant_recall_floor: float = 0.98
+    #: An index probes as many cells as reach this recall on so many sampled queries.
+    recall_floor: float = 0.98
+    sample_queries: int = 16
 
     def __post_init__(self) -> None:
         _need(self.brute_force_max_rows >= 0, "brute_force_max_rows must not be negative")
         _need(self.cells is None or self.cells >= 1, "cells must be positive")
         _need(self.probes >= 1 and self.train_rows >= 1, "probes and train_rows must be positive")
         _need(self.rescore_oversample >= 1, "rescore_oversample must be positive")
-        _unit("quant_recall_floor", self.quant_recall_floor)
+        _need(self.sample_queries >= 1, "sample_queries must be positive")
+        _unit("recall_floor", self.recall_floor)
+
+
+def notify(observer: Callable[[str, dict], None] | None, event: str, details: dict) -> None:
+    """Tells an observer of an event: query, write, flush, compaction or error."""
+    if observer is not None:
+        try:
+            observer(event, details)
+        except Exception:  # noqa: BLE001  an observer must not break what it watches
+            pass
 
 
 def wall_clock_ms() -> int:
@@ -212,6 +225,10 @@ class StoreConfig:
     index: IndexOptions = field(default_factory=IndexOptions)
     retention: Retention | None = None
     read_only: bool = False
+    #: Codec of the data files: zstd, snappy, lz4, gzip or none; None is the session's.
+    compression: str | None = None
+    #: Whether searches of the present state count as accesses of their hits, at the next flush.
+    count_hits: bool = False
     #: Milliseconds since 1970; plans never read the clock themselves.
     clock: Callable[[], int] = wall_clock_ms
     #: Called with (event, details); its exceptions are dropped.
@@ -220,4 +237,5 @@ class StoreConfig:
     def __post_init__(self) -> None:
         _need(1 <= self.dimension <= 65536, "dimension must be from 1 to 65536")
         _unit("dedup_threshold", self.dedup_threshold)
+        _need(self.compression in (None, "none", "uncompressed", "snappy", "gzip", "lz4", "zstd"), "unknown compression")
         _need(self.dedup is not Dedup.MERGE or self.merge is not None, "Dedup.MERGE needs a merge function")

@@ -1,4 +1,4 @@
-"""Optional approximate search: an inverted file of k-means cells, and byte codes.
+"""Approximate search: an inverted file of k-means cells, and byte codes.
 
 Both narrow the rows that the exact score is computed on; the scores returned
 are always exact. With all cells probed the results are the exact ones; byte
@@ -8,16 +8,20 @@ codes only leave out rows that can't be among them.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from palimpsest.config import IndexOptions, Metric
 from palimpsest.functions.quant import ByteCodes
 from palimpsest.functions.vector import best_first, dot, matrix_scores, score, vector as as_vector
-from palimpsest.operators.knn import top_k
+from palimpsest.operators.knn import batch_top_k, ranked, top_k
+from palimpsest.sources.scratch import shared_path
+
+#: Distances of rows to centres are computed so many at a time.
+CENTRE_DISTANCES = 1 << 22
 
 
 def k_means(matrix: np.ndarray, cells: int, seed: int, rounds: int = 12) -> np.ndarray:
@@ -36,33 +40,64 @@ def k_means(matrix: np.ndarray, cells: int, seed: int, rounds: int = 12) -> np.n
 
 @dataclass(frozen=True)
 class CellIndex:
-    """Centres of the cells, and the rows with their cell: partition or bucket these by `cell`."""
+    """Centres of the cells, and the rows (rowid, seqno, vector, cell) as files in a folder for each cell.
+
+    `probes` is the number of cells that reached the wanted recall on a sample;
+    `seqno` is the first number of versions that the index doesn't know.
+    """
 
     centres: np.ndarray
     rows: DataFrame
     metric: Metric
+    probes: int
+    size: int
+    seqno: int = 0
 
-    def probes(self, query: Sequence[float], n: int) -> list[int]:
+    def nearest_cells(self, query: Sequence[float], n: int) -> list[int]:
         """The n cells nearest to a query, nearest first."""
-        q = np.asarray(query, np.float64)[None, :]
-        if self.metric is Metric.COSINE:
-            q = q / max(float(np.linalg.norm(q)), 1e-12)
-        if self.metric is Metric.DOT:
-            return np.argsort(-(self.centres @ q[0]), kind="stable")[:n].tolist()
-        return np.argsort(matrix_scores(Metric.L2, self.centres, q)[:, 0], kind="stable")[:n].tolist()
+        return _cell_order(self.centres, np.asarray(query, np.float64)[None, :], self.metric)[0][:n].tolist()
+
+    def probed(self, query: Sequence[float], n_probes: int) -> DataFrame:
+        """The rows of the nearest cells; the cell filter prunes folders."""
+        return self.rows.where(F.col("cell").isin(self.nearest_cells(query, n_probes)))
+
+    def search(self, query: Sequence[float], k: int, n_probes: int | None = None, where: Column | None = None) -> DataFrame:
+        """The k best rows of the probed cells."""
+        return top_k(self.probed(query, n_probes or self.probes), query, k, self.metric, where)
+
+    def batch_search(self, queries: DataFrame, k: int, n_probes: int | None = None) -> DataFrame:
+        """(query_id, rowid, score, rank) of the k best rows of each query's probed cells, for any number of queries.
+
+        Queries meet the rows cell by cell in an equi-join on the cell, so only
+        probed cells are read for them.
+        """
+        n, shared, metric = n_probes or self.probes, self.rows.sparkSession.sparkContext.broadcast(self.centres), self.metric
 
-    def search(self, query: Sequence[float], k: int, n_probes: int, where: Column | None = None) -> DataFrame:
-        """The k best rows of the probed cells; the cell filter prunes partitions of a written index."""
-        near = self.rows.where(F.col("cell").isin(self.probes(query, n_probes)))
-        return top_k(near, query, k, self.metric, where)
+        @F.pandas_udf("array<int>")
+        def cells(vectors: pd.Series) -> pd.Series:
+            matrix = np.stack([np.asarray(v, np.float64) for v in vectors])
+            return pd.Series(list(_cell_order(shared.value, matrix, metric)[:, :n].astype(np.int32)))
 
+        dealt = queries.select("query_id", F.col("qvec"), F.explode(cells(F.col("qvec").cast("array<double>"))).alias("cell"))
+        scored = self.rows.join(dealt, "cell").select("query_id", "rowid", score(metric, as_vector("vector"), as_vector("qvec")).alias("score"))
+        return ranked(scored.where("score IS NOT NULL"), k, metric.higher_is_better)
 
-def build(rows: DataFrame, options: IndexOptions, metric: Metric = Metric.COSINE, vector: str = "vector", rowid: str = "rowid") -> CellIndex:
-    """Fits the cells on a bounded sample and assigns every row to its nearest one.
+
+def _cell_order(centres: np.ndarray, queries: np.ndarray, metric: Metric) -> np.ndarray:
+    """For each query all cells, nearest first."""
+    if metric is Metric.DOT:
+        return np.argsort(-(queries @ centres.T), axis=1, kind="stable")
+    if metric is Metric.COSINE:
+        queries = queries / np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-12)
+    return np.argsort(matrix_scores(Metric.L2, queries, centres), axis=1, kind="stable")
+
+
+def fit(rows: DataFrame, options: IndexOptions, metric: Metric, vector: str = "vector", rowid: str = "rowid") -> tuple[np.ndarray, int]:
+    """(centres of the cells, number of rows), from a bounded sample.
 
     The sample holds `train_rows` rows at most, chosen by a hash of the id; the
-    centres sent to the tasks are `cells` rows, about the square root of the
-    number of rows by default and never more than `train_rows`.
+    centres are `cells` rows, about the square root of the number of rows by
+    default and never more than `train_rows`.
     """
     total = rows.count()
     cells = options.cells or max(1, int(total**0.5))
@@ -73,23 +108,75 @@ def build(rows: DataFrame, options: IndexOptions, metric: Metric = Metric.COSINE
     sample = np.array([r.v for r in held], np.float64)
     if metric is Metric.COSINE and len(sample):
         sample = sample / np.maximum(np.linalg.norm(sample, axis=1, keepdims=True), 1e-12)
-    centres = k_means(sample, min(cells, options.train_rows), options.seed) if len(sample) else np.zeros((1, 1))
-    shared = rows.sparkSession.sparkContext.broadcast(centres)
-    normalised = metric is Metric.COSINE
+    return (k_means(sample, min(cells, options.train_rows), options.seed) if len(sample) else np.zeros((1, 1))), total
+
+
+def assign(rows: DataFrame, centres: np.ndarray, metric: Metric, vector: str = "vector") -> DataFrame:
+    """Adds each row's nearest cell. The centres sent to the tasks are bounded by the sample they come from."""
+    shared, normalised = rows.sparkSession.sparkContext.broadcast(centres), metric is Metric.COSINE
 
     @F.pandas_udf("int")
     def nearest(vectors: pd.Series) -> pd.Series:
-        matrix = np.stack([np.asarray(v, np.float64) for v in vectors])
-        if normalised:
-            matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
-        return pd.Series(matrix_scores(Metric.L2, matrix, shared.value).argmin(axis=1).astype(np.int32))
+        step, out = max(1, CENTRE_DISTANCES // len(shared.value)), []
+        for at in range(0, len(vectors), step):
+            matrix = np.stack([np.asarray(v, np.float64) for v in vectors.iloc[at : at + step]])
+            if normalised:
+                matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
+            out.append(matrix_scores(Metric.L2, matrix, shared.value).argmin(axis=1).astype(np.int32))
+        return pd.Series(np.concatenate(out) if out else np.zeros(0, np.int32))
+
+    return rows.withColumn("cell", nearest(F.col(vector).cast("array<double>")))
 
-    placed = rows.withColumn("cell", nearest(F.col(vector).cast("array<double>")))
-    if rowid != "rowid":
-        placed = placed.withColumn("rowid", F.col(rowid))
-    if vector != "vector":
-        placed = placed.withColumn("vector", F.col(vector))
-    return CellIndex(centres, placed, metric)
+
+def build(rows: DataFrame, options: IndexOptions, metric: Metric = Metric.COSINE, folder: str | None = None, seqno: int = 0) -> CellIndex:
+    """Fits the cells, assigns every row (rowid, vector, perhaps seqno) to its nearest one, and writes them by cell.
+
+    Rows are rebalanced by cell, so that a cell is in few files and one that
+    holds very many rows is split. Then a sample of queries measures how many cells
+    must be probed: `probes` is doubled until the recall is at least `recall_floor`,
+    which all cells reach.
+    """
+    centres, total = fit(rows, options, metric)
+    if "seqno" not in rows.columns:
+        rows = rows.withColumn("seqno", F.lit(0).cast("bigint"))
+    folder = folder or shared_path(rows.sparkSession, "cells")
+    placed = assign(rows.select("rowid", "seqno", "vector"), centres, metric)
+    placed.hint("rebalance", "cell").write.partitionBy("cell").parquet(folder)
+    kind = rows.schema["vector"].dataType.simpleString()
+    index = load(rows.sparkSession, folder, centres, metric, len(centres), total, seqno, kind)
+    return replace(index, probes=_enough_probes(index, options))
+
+
+def load(spark: SparkSession, folder: str, centres: np.ndarray, metric: Metric, probes: int, size: int, seqno: int, kind: str = "array<float>") -> CellIndex:
+    rows = spark.read.schema(f"rowid bigint, seqno bigint, vector {kind}, cell int").parquet(folder)
+    return CellIndex(centres, rows, metric, probes, size, seqno)
+
+
+def _enough_probes(index: CellIndex, options: IndexOptions) -> int:
+    """The fewest probes, doubling from the wished ones, whose recall on sampled rows reaches the floor.
+
+    A probed cell is searched exactly, so the recall is the share of the exact
+    neighbours that lie in the probed cells.
+    """
+    shares = recall_by_probes(index, options.sample_queries, 10)
+    probes = min(options.probes, len(index.centres))
+    while probes < len(index.centres) and shares[probes - 1] < options.recall_floor:
+        probes = min(2 * probes, len(index.centres))
+    return probes
+
+
+def recall_by_probes(index: CellIndex, n_queries: int, k: int) -> np.ndarray:
+    """The recall of the k nearest with 1, 2, ... all cells probed, on rows chosen by a hash as queries."""
+    chosen = index.rows.orderBy(F.xxhash64(F.lit(3), "rowid"), "rowid").limit(n_queries).select("rowid", "vector").collect()
+    if not chosen:
+        return np.ones(len(index.centres))
+    queries = index.rows.sparkSession.createDataFrame([(i, list(r.vector)) for i, r in enumerate(chosen)], "query_id bigint, qvec array<float>")
+    exact = batch_top_k(index.rows, queries, k, index.metric)
+    cells = index.rows.select("rowid", "cell").join(F.broadcast(exact.select("query_id", "rowid")), "rowid").collect()
+    order = _cell_order(index.centres, np.array([r.vector for r in chosen], np.float64), index.metric)
+    place = np.argsort(order, axis=1)
+    found = np.bincount([int(place[r.query_id, r.cell]) for r in cells], minlength=len(index.centres))
+    return np.cumsum(found) / max(1, len(cells))
 
 
 def two_stage(
@@ -139,13 +226,27 @@ def _may_reach(codes: ByteCodes, code: Column, query: list[float], metric: Metri
     return (shortest < 1e-6) | (most >= (reached - slack) * least_scale)
 
 
-def recall(exact: DataFrame, found: DataFrame, keys: Sequence[str] = ("query_id", "rowid")) -> float:
-    """The share of exact results that were found."""
-    wanted = exact.select(*keys).distinct()
-    total = wanted.count()
-    return wanted.join(found.select(*keys).distinct(), list(keys), "left_semi").count() / total if total else 1.0
+def recall(exact: DataFrame, found: DataFrame) -> DataFrame:
+    """(query_id, n, recall): of each query's exact results, how many there are and the share that was found."""
+    hits = found.select("query_id", "rowid").distinct().withColumn("_hit", F.lit(1))
+    both = exact.select("query_id", "rowid").join(hits, ["query_id", "rowid"], "left")
+    return both.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), (F.count("_hit") / F.count(F.lit(1))).alias("recall"))
+
 
+def wants_index(indexed: int, options: IndexOptions) -> bool:
+    """Whether an index pays: only beyond the size at which a scan is cheap."""
+    return indexed > options.brute_force_max_rows
 
-def wants_index(candidates: int, indexed: int, options: IndexOptions) -> bool:
-    """Whether an index pays: only beyond the size at which a scan is cheap, and not for few candidates."""
-    return indexed > options.brute_force_max_rows and candidates > max(1024, options.brute_force_max_rows // 2)
+
+def probes_for(index: CellIndex, candidates: int, alive: int, effort: int) -> int | None:
+    """How many cells to probe when a filter leaves so many candidates; None for an exact scan of these.
+
+    Few candidates are cheaper to scan. Else the fewer pass the filter, the
+    more cells are needed for as many results: in inverse proportion up to 8 times
+    where more than a tenth passes, and 4 times the effort below.
+    """
+    share = candidates / max(1, alive)
+    if share <= 0.001 or candidates < max(effort, 1024):
+        return None
+    wider = min(8.0, 1.0 / share) if share > 0.10 else 4.0
+    return min(len(index.centres), max(1, round(index.probes * wider)))

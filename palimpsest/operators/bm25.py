@@ -14,6 +14,7 @@ from palimpsest.functions.scalar import let
 from palimpsest.functions.text import tokenize, tokenize_text
 from palimpsest.functions.vector import best_first
 from palimpsest.operators.knn import ranked
+from palimpsest.sources.scratch import saved
 
 # BM25's usual constants.
 K1, B = 1.2, 0.75
@@ -46,14 +47,16 @@ def search(
 ) -> DataFrame:
     """(rowid, score) of the k best documents for one query text.
 
-    The query's terms are few, so each document counts just these; statistics
-    are one row, which enters the scoring scan as a scalar subquery. Nothing is
-    shuffled but partial sums and k rows a task.
+    The query's terms are few, so each document counts just these. The counts are
+    narrow and written to the shared folder, so texts are read and tokenized once;
+    statistics are one row, which enters the scoring scan as a scalar subquery.
+    Nothing is shuffled but partial sums and k rows a task.
     """
     terms = sorted(set(tokenize_text(query, stopwords)))
     counted = _counted(docs, terms, stopwords, text, rowid, where)
     if not terms:
         return counted.select("rowid", F.lit(0.0).alias("score")).limit(0)
+    counted = saved(counted, "counts")
     stats = counted.agg(
         F.struct(
             F.count(F.lit(1)).cast("double").alias("n"),

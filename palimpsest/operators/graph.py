@@ -81,17 +81,5 @@ def expand(seeds: DataFrame, edges: DataFrame, targets: DataFrame, options: Expa
     return best.drop("fresh")
 
 
-def best_of(expanded: DataFrame, top_k: int, higher_is_better: bool = True) -> DataFrame:
-    """Expanded rows in order of score, cut to top_k."""
-    return expanded.orderBy(*best_first(higher_is_better, F.col("score"), F.col("rowid"))).limit(top_k)
-
-
-def components_of_edges(edges: DataFrame) -> DataFrame:
-    """(node, component) over relations of any direction."""
-    from palimpsest.operators.components import connected_components
-
-    return connected_components(edges.select(F.col("from_id").alias("a"), F.col("to_id").alias("b")))
-
-
 def edge_weight(weight: Column) -> Column:
     return F.least(F.greatest(weight.cast("double"), F.lit(0.0)), F.lit(1.0)).cast("float")

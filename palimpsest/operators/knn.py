@@ -5,14 +5,17 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from palimpsest.config import Metric
 from palimpsest.functions.vector import best_first, matrix_scores, score, vector as as_vector
+from palimpsest.sources.scratch import shared_path
 
 #: Query vectors are sent to the tasks in blocks of at most so many bytes.
 QUERY_BLOCK_BYTES = 32 << 20
+FOUND = "query_id bigint, rowid bigint, score double"
 #: Rows are scored against a block of queries so many scores at a time.
 SCORES_AT_ONCE = 1 << 22
 
@@ -39,29 +42,42 @@ def ranked(scored: DataFrame, k: int, higher_is_better: bool, by: Sequence[str]
     return scored.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
 
 
-def _block_scorer(ids: list, matrix: np.ndarray, k: int, metric: Metric):
+def _merge_best(metric: Metric, k: int, best: tuple[np.ndarray, np.ndarray, np.ndarray], scores: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best (query number, score, row) of those held and of a matrix of scores [queries, rows]."""
+    held_query, held_score, held_row = best
+    worth = scores if metric.higher_is_better else -scores
+    worth = np.where(np.isnan(worth), -np.inf, worth)
+    if scores.shape[1] > k:
+        # What can't be among the k best of this part goes before anything is sorted.
+        least = np.partition(worth, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+        query, at = np.nonzero(worth >= least[:, None])
+    else:
+        query, at = (x.ravel() for x in np.indices(scores.shape))
+    query, value, row = np.concatenate([held_query, query]), np.concatenate([held_score, scores[query, at]]), np.concatenate([held_row, rows[at]])
+    # By query, NaN last, then the smaller id: numpy sorts by the last key first.
+    order = np.lexsort((row, -value if metric.higher_is_better else value, np.isnan(value), query))
+    query, value, row = query[order], value[order], row[order]
+    place = np.arange(len(query)) - np.searchsorted(query, query)
+    keep = place < k
+    return query[keep], value[keep], row[keep]
+
+
+def _block_scorer(ids: np.ndarray, matrix: np.ndarray, k: int, metric: Metric):
     """Scores partitions against one block of queries, keeping k rows a query and task."""
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best_rows = np.zeros((len(ids), 0), np.int64)
-        best_scores = np.zeros((len(ids), 0))
-        sign = 1.0 if metric.higher_is_better else -1.0
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
         step = max(1, SCORES_AT_ONCE // max(1, len(ids)))
         for batch in batches:
-            fits = batch["vector"].map(lambda v: v is not None and len(v) == matrix.shape[1]).to_numpy(bool)
-            batch = batch[fits]
+            lengths = pc.fill_null(pc.list_value_length(batch.column("vector")), -1).to_numpy(zero_copy_only=False)
+            batch = batch.filter(pa.array(lengths == matrix.shape[1]))
+            rows, flat = batch.column("rowid").to_numpy(), batch.column("vector").flatten()
+            vectors = flat.to_numpy(zero_copy_only=False).reshape(len(batch), matrix.shape[1])
             for at in range(0, len(batch), step):
-                part = batch.iloc[at : at + step]
-                rows = part["rowid"].to_numpy(np.int64)
-                scores = matrix_scores(metric, np.stack(part["vector"].to_numpy()).astype(np.float64), matrix).T
-                all_scores = np.concatenate([best_scores, scores], axis=1)
-                all_rows = np.concatenate([best_rows, np.broadcast_to(rows, scores.shape)], axis=1)
-                # NaN last, then the smaller id: numpy sorts by the last key first.
-                order = np.lexsort((all_rows, -sign * all_scores), axis=1)[:, :k]
-                best_scores = np.take_along_axis(all_scores, order, axis=1)
-                best_rows = np.take_along_axis(all_rows, order, axis=1)
-        n = best_rows.shape[1]
-        yield pd.DataFrame({"query_id": np.repeat(ids, n), "rowid": best_rows.ravel(), "score": best_scores.ravel()})
+                scores = matrix_scores(metric, vectors[at : at + step].astype(np.float64), matrix).T
+                best = _merge_best(metric, k, best, scores, rows[at : at + step])
+        query, value, row = best
+        yield pa.RecordBatch.from_arrays([pa.array(ids[query]), pa.array(row), pa.array(value)], ["query_id", "rowid", "score"])
 
     return scan
 
@@ -72,20 +88,26 @@ def batch_top_k(
 ) -> DataFrame:
     """(query_id, rowid, score, rank) of the k best rows for each of `queries` (query_id, qvec).
 
-    The queries go to the tasks in blocks whose size is checked, so any number
-    of them works; each block is one scan of the rows with a matrix product,
-    and a task passes on k rows a query.
+    The queries go to the tasks in blocks whose size is checked; each block is one
+    scan of the rows with a matrix product, and a task passes on k rows a query.
+    One block stays a lazy plan. More are run one after the other and written to
+    the shared folder, so the driver holds one block, however many queries there are;
+    the scans are as many as the blocks.
     """
     size = queries.agg(F.count(F.lit(1)), F.max(F.size("qvec"))).first()
     count, width = size[0], max(1, size[1] or 1)
     blocks = max(1, -(-count * width * 8 // block_bytes))
-    narrow = rows.select(F.col(rowid).cast("bigint").alias("rowid"), as_vector(vector).alias("vector"))
+    narrow = rows.select(F.col(rowid).cast("bigint").alias("rowid"), F.col(vector).alias("vector"))
+    spark, folder = rows.sparkSession, shared_path(rows.sparkSession, "nearest") if blocks > 1 else None
     found = None
     for block in range(blocks):
         chosen = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block) if blocks > 1 else queries
         held = sorted((r.query_id, r.qvec) for r in chosen.select("query_id", F.col("qvec").cast("array<double>")).collect())
         ids = np.array([q for q, _ in held], np.int64)
         matrix = np.array([v for _, v in held], np.float64).reshape(len(held), -1 if held else width)
-        part = narrow.mapInPandas(_block_scorer(ids, matrix, k, metric), "query_id bigint, rowid bigint, score double")
-        found = part if found is None else found.unionByName(part)
+        found = narrow.mapInArrow(_block_scorer(ids, matrix, k, metric), FOUND)
+        if folder is not None:
+            found.write.mode("append").parquet(folder)
+    if folder is not None:
+        found = spark.read.schema(FOUND).parquet(folder)
     return ranked(found, k, metric.higher_is_better)

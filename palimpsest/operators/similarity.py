@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from palimpsest.config import Metric
 from palimpsest.functions.vector import TINY
 from palimpsest.operators.components import connected_components
+from palimpsest.operators.knn import batch_top_k
 
 #: Rows of a block; two blocks of 1536 doubles take 100 MB.
 BLOCK_ROWS = 4096
@@ -74,20 +76,12 @@ def clusters(rows: DataFrame, threshold: float, by: Sequence[str] = (), vector:
     return connected_components(links).select(F.col("node").alias("rowid"), F.col("component").alias("cluster"))
 
 
-def nearest_above(rows: DataFrame, candidates: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """For each new row (ord, vector) its best match in `candidates` (rowid, vector): (ord, rowid, score).
+def nearest_above(rows: DataFrame, candidates: DataFrame, threshold: float, k: int = 1) -> DataFrame:
+    """For each new row (ord, vector) its k best matches in `candidates` (rowid, vector): (ord, rowid, score, rank).
 
     Best cosine at or above the threshold, then smallest rowid. New rows are the
     queries; they go against the stored rows in blocks.
     """
-    from palimpsest.config import Metric
-    from palimpsest.operators.knn import batch_top_k
-
     queries = rows.select(F.col("ord").alias("query_id"), F.col("vector").alias("qvec"))
-    found = batch_top_k(candidates, queries, 1, Metric.COSINE)
-    return found.where(F.col("score") >= threshold).select(F.col("query_id").alias("ord"), "rowid", "score")
-
-
-def batches_of(frame: pd.DataFrame, rows: int) -> Iterator[pd.DataFrame]:
-    for at in range(0, len(frame), rows):
-        yield frame.iloc[at : at + rows]
+    found = batch_top_k(candidates, queries, k, Metric.COSINE)
+    return found.where(F.col("score") >= threshold).select(F.col("query_id").alias("ord"), "rowid", "score", "rank")

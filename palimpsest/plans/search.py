@@ -15,10 +15,10 @@ from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame, functions as F
 
-from palimpsest.config import Expand, Scoring
+from palimpsest.config import Expand, Scoring, notify
 from palimpsest.errors import Closed, ConfigError, DimensionMismatch, NonFinite, Unsupported
 from palimpsest.functions.vector import best_first
-from palimpsest.operators import bm25, fusion, graph, knn, scoring
+from palimpsest.operators import ann, bm25, fusion, graph, knn, scoring
 from palimpsest.operators.ann import CellIndex
 from palimpsest.plans.compile import compile_filter
 from palimpsest.plans.expr import Expr
@@ -46,8 +46,9 @@ class Search:
         self._near: float | None = None
         self._lambda: float | None = None
         self._rerank: Callable[[DataFrame], DataFrame] | None = None
-        self._index: tuple[CellIndex, int] | None = None
-        self._query_id = 0
+        self._index: tuple[CellIndex, int | None] | None = None
+        self._exact = False
+        self._query_id: int | None = None
         self._code_order = False
 
     def vector(self, query: Sequence[float]) -> Search:
@@ -68,7 +69,7 @@ class Search:
         return self
 
     def ef(self, ef: int) -> Search:
-        """Effort of an approximate search; exact search has no use for it."""
+        """Effort of an approximate search: filters that leave fewer candidates are scanned."""
         self._ef = ef
         return self
 
@@ -104,16 +105,22 @@ class Search:
         self._rerank = hook
         return self
 
-    def using(self, index: CellIndex, probes: int) -> Search:
-        """Approximate vector channel: only the probed cells are scored."""
+    def using(self, index: CellIndex, probes: int | None = None) -> Search:
+        """Approximate vector channel by this index: of the rows that it knows only the probed cells are scored."""
         self._index = (index, probes)
         return self
 
+    def exact(self) -> Search:
+        """No index, even if the store has one."""
+        self._exact = True
+        return self
+
     def as_of(self, at_ms: int) -> Search:
         self.view = self.view.as_of(at_ms)
         return self
 
     def query_id(self, number: int) -> Search:
+        """Numbers the query; the default is the next number of this process."""
         self._query_id = number
         return self
 
@@ -156,12 +163,9 @@ class Search:
         budget = 2 * self._top_k if both else self._top_k
         near = words = None
         if self._vector is not None:
-            if self._index is not None:
-                index, probes = self._index
-                ids = everything if condition is None else everything.where(condition)
-                rows = index.rows.where(F.col("cell").isin(index.probes(self._vector, probes))).select("rowid", "vector")
-                rows = rows.join(ids.select("rowid"), "rowid", "left_semi")
-                near = knn.top_k(rows, self._vector, budget, metric)
+            chosen = self._dispatch(everything, condition)
+            if chosen is not None:
+                near = knn.top_k(self._indexed(everything, condition, *chosen), self._vector, budget, metric)
             else:
                 near = knn.top_k(everything, self._vector, budget, metric, condition)
         if self._text is not None:
@@ -173,8 +177,58 @@ class Search:
             return fusion.reciprocal_rank([(near, metric.higher_is_better), (words, True)], self._top_k, int(value)), True
         return fusion.weighted(near, words, value, self._top_k, not metric.higher_is_better), True
 
+    def _dispatch(self, everything: DataFrame, condition) -> tuple[CellIndex, int] | None:
+        """The index and number of cells to probe, or None for an exact scan.
+
+        An index is used where it holds more rows than are cheap to scan, for the
+        present state only; a filter's candidates are counted to choose the probes.
+        """
+        options, asked = self.view.config.index, None
+        if self._index is not None:
+            index, asked = self._index
+        elif self._exact or self.view.at_ms is not None:
+            return None
+        else:
+            index = self.view.index(self.ns)
+            if index is None or not ann.wants_index(index.size, options):
+                return None
+        if asked is not None:
+            return index, asked
+        if condition is None:
+            return index, index.probes
+        counts = everything.agg(F.count_if(condition), F.count(F.lit(1))).first()
+        probes = ann.probes_for(index, counts[0], counts[1], max(self._ef or 0, self._top_k))
+        return None if probes is None else (index, probes)
+
+    def _indexed(self, everything: DataFrame, condition, index: CellIndex, probes: int) -> DataFrame:
+        """The probed rows that are still the newest, and all rows that changed or came since the index was built."""
+        live = everything if condition is None else everything.where(condition)
+        known = live.where(F.col("seqno") < index.seqno).select("rowid", "seqno")
+        rows = index.probed(self._vector, probes).select("rowid", "seqno", "vector").join(known, ["rowid", "seqno"], "left_semi")
+        tail = live.where(F.col("seqno") >= index.seqno).select("rowid", "seqno", "vector")
+        return rows.unionByName(tail)
+
     def execute(self) -> DataFrame:
-        """The hits: (rank, rowid, query_id, score, record columns, via, breakdown)."""
+        """The hits: (rowid, query_id, score, record columns, via, breakdown), best first.
+
+        With `count_hits`, the hits are computed at once, and counted at the
+        store's next flush.
+        """
+        number = next(self.view.log.queries) if self._query_id is None else self._query_id
+        observer = self.view.config.observer
+        try:
+            hits = self._hits(number)
+            if self.view.config.count_hits and self.view.at_ms is None:
+                # Bounded by top_k; the order of a kept frame stays.
+                hits = hits.persist()
+                self.view.log.hits.extend(r.rowid for r in hits.select("rowid").collect())
+        except Exception as error:
+            notify(observer, "error", {"during": "query", "query_id": number, "error": str(error)})
+            raise
+        notify(observer, "query", {"query_id": number, "ns": self.ns, "top_k": self._top_k})
+        return hits
+
+    def _hits(self, number: int) -> DataFrame:
         self._check()
         uses_access = self._scoring is not None or (self._filter is not None and self._filter.uses_access)
         everything = self.view.rows(self.ns, with_access=uses_access)
@@ -191,7 +245,7 @@ class Search:
         else:
             found = found.withColumn("via", F.lit(None).cast(_VIA))
         # Bounded by the channels' limits or max_nodes, whatever the table's size.
-        hits = candidates.join(F.broadcast(found), "rowid").withColumn("query_id", F.lit(self._query_id).cast("bigint"))
+        hits = candidates.join(F.broadcast(found), "rowid").withColumn("query_id", F.lit(number).cast("bigint"))
         if self._scoring is not None:
             hits = scoring.composite(hits, self._scoring, self.view.now, higher)
             higher = True

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from palimpsest.config import DAY_MS, Expand, IndexOptions, Metric, Retention, Scoring, StoreConfig
+from palimpsest.config import DAY_MS, Consolidation, Dedup, Expand, IndexOptions, Metric, Retention, Scoring, StoreConfig
 from palimpsest.functions import quant
 from palimpsest.functions.scalar import decay, iso_from_ms, json_depth, json_get, log_share, text_hash
 from palimpsest.functions.text import STOPWORDS, tokenize, tokenize_text
 from palimpsest.operators import ann, bm25, fusion, graph, knn, scoring, similarity, stats, versions
+from palimpsest.operators.spread import join_large_keys
 from palimpsest.plans.compile import compile_filter
 from palimpsest.plans.parser import parse
+from palimpsest.sources.doubles import ManualClock
 from palimpsest.sources.scratch import saved, shared_path
+from palimpsest.sources.store import MemoryStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -171,27 +175,38 @@ def quant_two_stage(spark, d):
     return found.select("rowid", _r6("score").alias("score"))
 
 
-@query()
+@query(_knn_sql("cosine"))
 def ann_cells(spark, d):
-    """Approximate search over an inverted file; tests hold its recall against the exact search."""
-    rows = _vectors(spark, d).select("rowid", "vector")
-    index = ann.build(rows, IndexOptions(cells=16, probes=12))
-    return index.search(_first_vector(spark, d), 10, 12).select("rowid", _r6("score").alias("score"))
+    """Search over a written inverted file, with all cells probed; tests hold its recall with fewer."""
+    index = ann.build(_vectors(spark, d).select("rowid", "vector"), IndexOptions(cells=16))
+    return index.search(_first_vector(spark, d), 10, 16).select("rowid", _r6("score").alias("score"))
 
 
-@query(
-    "WITH q AS (SELECT vec_id % 20 = 0 AS is_query, * FROM embeddings), e AS (SELECT a.vec_id AS query_id, b.vec_id AS rowid FROM q a, q b WHERE a.is_query "
-    "QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) <= 10) "
-    "SELECT query_id, CAST(count(*) AS BIGINT) AS n, 1.0::DOUBLE AS recall FROM e GROUP BY query_id"
+_SQL_COS_DOT = (
+    "s AS (SELECT a.vec_id AS query_id, b.vec_id AS rowid, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d, "
+    "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) * list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS c "
+    "FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, rowid) AS rc, row_number() OVER (PARTITION BY query_id ORDER BY d DESC, rowid) AS rd FROM s)"
 )
-def recall_report(spark, d):
-    """Agreement for every query of two exact searches, in one block of queries and in many."""
+
+
+@query(f"WITH {_SQL_COS_DOT} SELECT query_id, CAST(count(*) AS BIGINT) AS n, count(*) FILTER (WHERE rd <= 10) / count(*) AS recall FROM r WHERE rc <= 10 GROUP BY query_id")
+def recall_agreement(spark, d):
+    """For every query, the share of its 10 nearest by cosine that are among its 10 nearest by inner product."""
     rows, queries = _vectors(spark, d), _query_vectors(spark, d)
-    batch = knn.batch_top_k(rows, queries, 10, Metric.DOT)
-    other = knn.batch_top_k(rows.repartition(3, "rowid"), queries, 10, Metric.DOT, block_bytes=4096)
-    lists = [f.groupBy("query_id").agg(F.collect_set("rowid").alias(n)) for f, n in ((batch, "a"), (other, "b"))]
-    both = lists[0].join(lists[1], "query_id")
-    return both.select("query_id", F.size("a").cast("bigint").alias("n"), (F.size(F.array_intersect("a", "b")) / F.size("a")).alias("recall"))
+    return ann.recall(knn.batch_top_k(rows, queries, 10), knn.batch_top_k(rows, queries, 10, Metric.DOT)).select("query_id", F.col("n").cast("bigint").alias("n"), "recall")
+
+
+@query()
+def recall_report(spark, d):
+    """For every query, the measured recall of the cells and of the byte codes against the exact search."""
+    rows, queries = _vectors(spark, d).select("rowid", "vector"), _query_vectors(spark, d)
+    exact = knn.batch_top_k(rows, queries, 10)
+    cells = ann.build(rows, IndexOptions()).batch_search(queries, 10)
+    codes = quant.fit(rows)
+    coarse = knn.batch_top_k(rows.withColumn("vector", codes.decode(codes.encode(F.col("vector")))), queries, 10)
+    found = ann.recall(exact, cells).select("query_id", "n", F.col("recall").alias("cells_recall"))
+    return found.join(ann.recall(exact, coarse).select("query_id", F.col("recall").alias("codes_recall")), "query_id")
 
 
 # ---- text search -----------------------------------------------------------
@@ -272,10 +287,16 @@ def bm25_batch(spark, d):
 # ---- fusion and the whole pipeline -----------------------------------------
 
 
+#: The vector of a document that has none.
+_PLAIN_VECTOR = [1.0] + [0.0] * 63
+
+
 def _hybrid_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that have a vector, as records."""
+    """All documents and all vectors as records; of equal ids they are one. What has no vector gets a plain one."""
     docs = _table(spark, d, "documents").select(F.col("doc_id").alias("rowid"), "text", "lang")
-    return docs.join(_vectors(spark, d), "rowid")
+    both = docs.join(_vectors(spark, d), "rowid", "full")
+    vector = F.coalesce("vector", F.lit(_PLAIN_VECTOR).cast("array<float>"))
+    return both.withColumn("vector", vector).withColumn("label", F.coalesce("label", F.pmod("rowid", F.lit(10)).cast("int")))
 
 
 def _channels(spark: SparkSession, d: str, budget: int) -> tuple[DataFrame, DataFrame]:
@@ -287,8 +308,12 @@ def _channels(spark: SparkSession, d: str, budget: int) -> tuple[DataFrame, Data
     )
 
 
+_SQL_RECORDS = (
+    "j AS (SELECT coalesce(doc_id, vec_id) AS id, text, coalesce(label, coalesce(doc_id, vec_id) % 10) AS label, coalesce(label, coalesce(doc_id, vec_id) % 10) < 8 AS wanted, "
+    f"coalesce(embedding, {_PLAIN_VECTOR}::FLOAT[]) AS embedding FROM documents FULL JOIN embeddings ON doc_id = vec_id)"
+)
 _SQL_HYBRID = (
-    f"WITH {_SQL_Q}, j AS (SELECT doc_id AS id, text, label < 8 AS wanted, embedding FROM documents JOIN embeddings ON doc_id = vec_id), "
+    f"WITH {_SQL_Q}, {_SQL_RECORDS}, "
     + _bm25_sql(_TERMS, "SELECT id, text, wanted FROM j")
     + f", v AS (SELECT id, {_SQL_SCORES['cosine']} AS s FROM j, q WHERE wanted ORDER BY s DESC, id LIMIT 20), "
     "w AS (SELECT id, s FROM b ORDER BY s DESC, id LIMIT 20), "
@@ -339,13 +364,28 @@ def composite_score(spark, d):
     return scoring.composite(_scored(spark, d), _SCORING, NOW).select("rowid", _r6("score").alias("score"))
 
 
-@query()
+_SQL_CANDIDATES = (
+    _SQL_COMPOSITE + ", u AS (SELECT rowid, s, row_number() OVER (ORDER BY s DESC, rowid) AS i, embedding::DOUBLE[] AS v, "
+    "sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS l FROM t JOIN embeddings ON vec_id = rowid), "
+    "m AS (SELECT a.i AS i, b.i AS j, list_dot_product(a.v, b.v) / (a.l * b.l) AS c FROM u a, u b)"
+)
+
+
+@query(
+    _SQL_CANDIDATES.replace("WITH ", "WITH RECURSIVE ", 1) + ", far AS (SELECT i, list(j) FILTER (WHERE c >= 0.3) AS near FROM m GROUP BY i), "
+    "k AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS kept UNION ALL SELECT k.i + 1, CASE WHEN len(list_intersect(kept, near)) > 0 THEN kept ELSE list_append(kept, k.i + 1) END FROM k JOIN far ON far.i = k.i + 1) "
+    "SELECT u.rowid, round(u.s, 6) AS score, CAST(list_position(kept, u.i) AS INTEGER) AS rank FROM (SELECT kept FROM k ORDER BY i DESC LIMIT 1), u WHERE list_contains(kept, u.i)"
+)
 def near_dedup_results(spark, d):
     found = scoring.composite(_scored(spark, d), _SCORING, NOW).select("rowid", "score", "vector")
     return scoring.drop_near(found, 0.3).select("rowid", _r6("score").alias("score"), "rank")
 
 
-@query()
+@query(
+    _SQL_CANDIDATES.replace("WITH ", "WITH RECURSIVE ", 1) + ", w AS (SELECT 1 AS step, []::BIGINT[] AS chosen UNION ALL "
+    "SELECT step + 1, list_append(chosen, (SELECT u.i FROM u WHERE NOT list_contains(chosen, u.i) ORDER BY 0.5 * u.s - 0.5 * coalesce((SELECT max(c) FROM m WHERE m.i = u.i AND list_contains(chosen, m.j)), 0) DESC, u.i LIMIT 1)) "
+    "FROM w WHERE step <= 10) SELECT u.rowid, round(u.s, 6) AS score, CAST(list_position(chosen, u.i) AS INTEGER) AS rank FROM (SELECT chosen FROM w ORDER BY step DESC LIMIT 1), u WHERE list_contains(chosen, u.i)"
+)
 def mmr_top10(spark, d):
     found = scoring.composite(_scored(spark, d), _SCORING, NOW).select("rowid", "score", "vector")
     return scoring.mmr(found, 0.5, 10).select("rowid", _r6("score").alias("score"), "rank")
@@ -415,10 +455,23 @@ def filter_exists(spark, d):
 # ---- scans -----------------------------------------------------------------
 
 
-@query("SELECT lang AS ns, count(*) AS n FROM documents WHERE n_chars > 300 GROUP BY lang")
+def _languages(spark: SparkSession, d: str):
+    """A store with a namespace for each language of the documents."""
+    docs, store = _table(spark, d, "documents"), _store(spark, 1)
+    for row in docs.select("lang").distinct().orderBy("lang").collect():
+        records = docs.where(F.col("lang").eqNullSafe(row.lang)).select(
+            F.col("doc_id").cast("string").alias("key"), F.array(F.lit(1.0)).alias("vector"), F.to_json(F.struct("n_chars")).alias("metadata")
+        )
+        store.namespace(f"docs/{row.lang or 'none'}").insert_df(records)
+    return store
+
+
+@query("SELECT 'docs/' || coalesce(lang, 'none') AS ns, count(*) FILTER (WHERE n_chars > 300) AS n FROM documents GROUP BY lang")
 def scan_count(spark, d):
-    rows = _table(spark, d, "documents").select(F.col("lang").alias("ns"), F.to_json(F.struct("n_chars")).alias("metadata"))
-    return rows.where(compile_filter(parse("n_chars > 300"))).groupBy("ns").agg(F.count(F.lit(1)).alias("n"))
+    """Each namespace counts the records that match."""
+    store = _languages(spark, d)
+    counts = [(path, store.namespace(path).count("n_chars > 300")) for path in store.list_namespaces()]
+    return spark.createDataFrame(counts, "ns string, n bigint")
 
 
 @query(f"WITH {_SQL_LOG}, {_SQL_LATEST} SELECT rowid, seqno, key, {_SQL_LIVE} AS is_live FROM latest")
@@ -427,17 +480,20 @@ def audit_scan(spark, d):
     return versions.latest(_log(spark, d)).select("rowid", "seqno", "key", versions.live(NOW).alias("is_live"))
 
 
-@query("SELECT c_custkey AS pos, o_orderkey AS key, o_totalprice FROM customer LEFT JOIN orders ON o_orderkey = c_custkey * 7 + 1")
+@query("SELECT c_custkey AS pos, CAST(c_custkey * 7 + 1 AS VARCHAR) AS key, o_totalprice FROM customer LEFT JOIN orders ON o_orderkey = c_custkey * 7 + 1")
 def get_many_positional(spark, d):
-    """For each request its row or null, in the order of the requests."""
-    requests = _table(spark, d, "customer").select(F.col("c_custkey").alias("pos"), (F.col("c_custkey") * 7 + 1).alias("wanted"))
-    rows = _table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), "o_totalprice")
-    return requests.join(rows, F.col("wanted") == F.col("key"), "left").orderBy("pos").select("pos", "key", "o_totalprice")
+    """For each request its record or null, in the order of the requests."""
+    space = _store(spark, 1).namespace("orders")
+    space.insert_df(_table(spark, d, "orders").select(
+        F.col("o_orderkey").cast("string").alias("key"), F.array(F.lit(1.0)).alias("vector"), F.to_json(F.struct("o_totalprice")).alias("metadata")
+    ))
+    requests = _table(spark, d, "customer").select(F.col("c_custkey").alias("pos"), (F.col("c_custkey") * 7 + 1).cast("string").alias("key"))
+    return space.get_many_df(requests).select("pos", "key", json_get(F.col("metadata"), "o_totalprice", "double").alias("o_totalprice"))
 
 
-@query("SELECT DISTINCT lang || '/' || source AS path FROM documents")
+@query("SELECT DISTINCT 'docs/' || coalesce(lang, 'none') AS path FROM documents")
 def list_namespaces(spark, d):
-    return _table(spark, d, "documents").select(F.concat_ws("/", "lang", "source").alias("path")).distinct().orderBy("path")
+    return _languages(spark, d).view().namespaces()
 
 
 # ---- versions --------------------------------------------------------------
@@ -484,21 +540,33 @@ def retain_scores(spark, d):
     return rows.select("rowid", _r6(score).alias("score"), (score < _RETENTION.min_importance).alias("forgotten"))
 
 
-@query(f"WITH {_SQL_LOG}, l AS (SELECT key, max(seqno) AS seqno, count(*) AS versions FROM log GROUP BY key) SELECT key, seqno, versions FROM l")
+@query(
+    "WITH v AS (SELECT event_type, row_number() OVER (ORDER BY event_id) AS r FROM events) "
+    "SELECT 'type-' || event_type AS key, min(r) AS owner, event_type <> 'error' AS owned FROM v GROUP BY event_type"
+)
 def key_owners(spark, d):
-    """Who owns each key: the newest version that carries it."""
-    return _log(spark, d).groupBy("key").agg(F.max("seqno").alias("seqno"), F.count(F.lit(1)).alias("versions"))
+    """The row that owns each key, or last owned it."""
+    space = _store(spark, 1).namespace("types")
+    space.insert_df(_table(spark, d, "events").orderBy("event_id").select(F.concat(F.lit("type-"), F.col("event_type")).alias("key"), F.array(F.lit(1.0)).alias("vector")))
+    space.delete("type-error")
+    return space.owners()
 
 
 @query("SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first_id, count(*) OVER (PARTITION BY text) > 1 AS repeated FROM documents")
 def exact_text_dups(spark, d):
     """The first row of each text. Texts meet by a wide digest, so whole texts are never shuffled."""
-    docs = _table(spark, d, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"), F.col("text").isNull().alias("none"))
-    firsts = docs.groupBy("h", "none").agg(F.min("doc_id").alias("first_id"), (F.count(F.lit(1)) > 1).alias("repeated"))
-    return docs.join(firsts, ["h", "none"]).select("doc_id", "first_id", "repeated")
+    docs = saved(_table(spark, d, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"), F.col("text").isNull().alias("none")), "digests")
+    firsts = saved(docs.groupBy("h", "none").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")), "firsts")
+    total = firsts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    found = join_large_keys(docs, firsts.withColumn("repeated", F.col("n") > 1), ["h", "none"], "n", total, F.col("doc_id"))
+    return found.select("doc_id", "first_id", "repeated")
 
 
-@query()
+@query(
+    "WITH b AS (SELECT doc_id, text, CASE WHEN text = '' THEN []::HUGEINT[] ELSE list_transform(range(0, octet_length(encode(text))), lambda i: CAST('0x' || substr(hex(encode(text)), 2 * i + 1, 2) AS HUGEINT)) END AS bytes FROM documents), "
+    "h AS (SELECT doc_id, text, list_reduce(list_prepend(14695981039346656037::HUGEINT, bytes), lambda h, x: (xor(h, x) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT) AS h FROM b) "
+    "SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE CAST(h - CASE WHEN h >= 9223372036854775808::HUGEINT THEN 18446744073709551616::HUGEINT ELSE 0 END AS BIGINT) END AS text_hash FROM h"
+)
 def text_hashes(spark, d):
     """64-bit FNV-1a of every whole text."""
     return _table(spark, d, "documents").select("doc_id", text_hash(F.col("text")).alias("text_hash"))
@@ -549,12 +617,12 @@ def _seeds(spark: SparkSession, d: str) -> DataFrame:
     return orders.select((F.col("o_orderkey") + _BASE["order"]).alias("rowid"), (F.col("o_totalprice") / 1_000_000).alias("score"))
 
 
-@query(f"WITH {_SQL_EDGES} SELECT f AS from_id, t AS to_id, CAST(kind AS SMALLINT) AS kind, round(w, 6) AS weight FROM e WHERE kind IN (1, 2) AND f % 3 = 0")
+@query(f"WITH {_SQL_EDGES} SELECT f AS from_id, t AS to_id, CAST(kind AS SMALLINT) AS kind, round(w, 6) AS weight FROM e WHERE kind IN (1, 2)")
 def neighbors(spark, d):
-    """Out-edges of two kinds of every third customer and supplier."""
+    """Out-edges of two kinds of all rows."""
     edges = _edges(spark, d)
     alive = _nodes(edges)
-    found = graph.neighbors(edges, alive.where("rowid % 3 = 0"), alive, (1, 2))
+    found = graph.neighbors(edges, alive, alive, (1, 2))
     return found.select("from_id", "to_id", "kind", _r6(F.col("weight").cast("double")).alias("weight"))
 
 
@@ -671,15 +739,12 @@ def scalar_functions(spark, d):
 # ---- the store -------------------------------------------------------------
 
 
-def _store(spark: SparkSession, dimension: int):
-    from palimpsest.sources.store import MemoryStore
+def _store(spark: SparkSession, dimension: int, **settings) -> MemoryStore:
+    settings = {"clock": ManualClock(NOW)} | settings
+    return MemoryStore.open(spark, shared_path(spark, "store"), StoreConfig(dimension=dimension, **settings))
 
-    return MemoryStore.open(spark, shared_path(spark, "store"), StoreConfig(dimension=dimension, clock=lambda: NOW))
 
-
-@query(
-    "SELECT 'doc-' || doc_id AS key, CAST(strlen(text) AS BIGINT) AS text_bytes, label FROM documents JOIN embeddings ON doc_id = vec_id WHERE label <> 3"
-)
+@query(f"WITH {_SQL_RECORDS} SELECT 'doc-' || id AS key, CAST(strlen(text) AS BIGINT) AS text_bytes, CAST(label AS INTEGER) AS label FROM j WHERE label <> 3")
 def store_insert_forget(spark, d):
     """Records go into a store, some are forgotten by a filter, the rest is read back."""
     store = _store(spark, 64)
@@ -722,6 +787,197 @@ def store_search(spark, d):
     return hits.select("key", _r6("score").alias("score"))
 
 
+@query(
+    "WITH e AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS ord, text, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS n FROM documents) "
+    "SELECT CAST(ord AS BIGINT) AS ord, CASE WHEN n > 1 AND text IS NOT NULL THEN 'duplicate' ELSE 'inserted' END AS status, CASE WHEN n > 1 AND text IS NOT NULL THEN 1.0 END AS score FROM e"
+)
+def store_dedup(spark, d):
+    """A deduplicating write of all documents: a text that is there already is refused. Vectors are far apart."""
+    store = _store(spark, 64, dedup=Dedup.REJECT)
+    bits = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("getbit", F.xxhash64("doc_id"), i) * 2.0 - 1.0)
+    docs = _table(spark, d, "documents").orderBy("doc_id").select(F.col("doc_id").cast("string").alias("key"), "text", bits.alias("vector"))
+    return store.namespace("docs").insert_df(docs).select("ord", "status", "score")
+
+
+@query(
+    "WITH g AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM embeddings WHERE label IS NOT NULL) "
+    "SELECT CAST(label AS VARCHAR) AS text, string_agg(CAST(vec_id AS VARCHAR), '+' ORDER BY r) AS joined, CAST(count(*) AS BIGINT) AS versions FROM g GROUP BY label"
+)
+def store_merge(spark, d):
+    """A merging write: records of equal text become one, each merge a version of its own."""
+    def merged(old: dict, new: dict) -> dict:
+        return {**new, "key": None, "metadata": json.dumps({"ids": json.loads(old["metadata"])["ids"] + "+" + json.loads(new["metadata"])["ids"]})}
+
+    store = _store(spark, 64, dedup=Dedup.MERGE, merge=merged)
+    bits = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("getbit", F.xxhash64("vec_id"), i) * 2.0 - 1.0)
+    rows = _table(spark, d, "embeddings").where("label IS NOT NULL").orderBy("vec_id").select(
+        F.col("label").cast("string").alias("text"), bits.alias("vector"), F.to_json(F.struct(F.col("vec_id").cast("string").alias("ids"))).alias("metadata")
+    )
+    space = store.namespace("labels")
+    space.insert_df(rows)
+    history = store.view().versions().groupBy("rowid").agg(F.count(F.lit(1)).alias("versions"))
+    return space.iter().join(history, "rowid").select("text", json_get(F.col("metadata"), "ids", "string").alias("joined"), "versions")
+
+
+def _nation_store(spark: SparkSession, d: str, **settings):
+    """The nations as records, whose rowid is their place by number, from 1; vectors go round a circle."""
+    store = _store(spark, 2, **settings)
+    angle = F.col("n_nationkey") / 10
+    rows = _table(spark, d, "nation").orderBy("n_nationkey").select(
+        F.concat(F.lit("n"), F.col("n_nationkey")).alias("key"), F.array(F.cos(angle), F.sin(angle)).alias("vector"), F.col("n_name").alias("text"),
+        F.to_json(F.struct(F.col("n_regionkey").alias("region"))).alias("metadata"), F.lit(0.5).alias("importance"),
+    )
+    store.namespace("world/nations").insert_df(rows)
+    return store
+
+
+_SQL_NATIONS = "n AS (SELECT n_nationkey AS k, row_number() OVER (ORDER BY n_nationkey) AS rowid, n_name, n_regionkey AS region, cos(n_nationkey / 10) AS x, sin(n_nationkey / 10) AS y FROM nation)"
+
+
+@query(
+    f"WITH {_SQL_NATIONS} SELECT 'n' || k AS key, CASE k WHEN 3 THEN 'renamed' WHEN 6 THEN 'believed' ELSE n_name END AS text, "
+    "CAST(CASE k WHEN 3 THEN 0.75 WHEN 7 THEN 0.625 WHEN 8 THEN 0.52 ELSE 0.5 END AS DOUBLE) AS importance, CAST(CASE k WHEN 9 THEN 0.9 ELSE 1.0 END AS DOUBLE) AS confidence, "
+    "CAST(CASE k WHEN 7 THEN 1 WHEN 8 THEN 1 ELSE 0 END AS BIGINT) AS access_count FROM n WHERE k NOT IN (5)"
+)
+def store_mutations(spark, d):
+    """One of each change of a record: update, delete, supersede, touch with a boost, feedback used and corrected."""
+    store = _nation_store(spark, d)
+    space = store.namespace("world/nations")
+    space.update("n3", {"text": "renamed", "importance": 0.75})
+    space.delete("n5")
+    space.supersede("n6", {"vector": [1.0, 0.0], "text": "believed", "importance": 0.5, "metadata": "{}"})
+    space.touch("n7", boost=0.125)
+    space.feedback(space.get("n8").rowid, 1, used=True)
+    space.feedback(space.get("n9").rowid, 1, corrected_by=space.get("n8").rowid)
+    rows = store.view().rows("world/nations", with_access=True)
+    return rows.select(
+        "key", "text", F.round(F.col("importance").cast("double"), 4).alias("importance"), F.round(F.col("confidence").cast("double"), 4).alias("confidence"),
+        F.coalesce("access_count", F.lit(0)).cast("bigint").alias("access_count"),
+    )
+
+
+@query(
+    f"WITH {_SQL_NATIONS} SELECT a.rowid AS from_id, b.rowid AS to_id, CAST(16 AS SMALLINT) AS kind, CAST(CASE WHEN a.k = 1 THEN 1.0 ELSE 0.25 END AS DOUBLE) AS weight "
+    "FROM n a JOIN n b ON a.region = b.region AND a.k < b.k WHERE NOT (a.k = 0 AND b.k = 5) "
+)
+def store_relations(spark, d):
+    """A relation kind of one's own, many edges at once, one set anew with a weight beyond its range, one removed."""
+    store = _nation_store(spark, d)
+    space, kind = store.namespace("world/nations"), store.relation_kind("borders")
+    rows = space.rows().select("rowid", json_get(F.col("metadata"), "region", "bigint").alias("region"))
+    pairs = rows.select(F.col("rowid").alias("from_id"), "region").join(rows.select(F.col("rowid").alias("to_id"), "region"), "region").where("from_id < to_id")
+    edges = pairs.select("from_id", "to_id", F.lit(kind).cast("smallint").alias("kind"), F.lit(0.25).alias("weight"), F.lit(None).cast("string").alias("metadata"))
+    space.relate_df(edges)
+    for row in edges.where("from_id = 2").orderBy("to_id").collect():
+        space.relate(row.from_id, row.to_id, kind, 7.5)
+    space.unrelate(1, 6, kind)
+    return store.view().edges().select("from_id", "to_id", "kind", F.round(F.col("weight").cast("double"), 4).alias("weight"))
+
+
+@query("SELECT 'world/regions' AS path, CAST(count(*) AS BIGINT) AS n FROM region")
+def store_drop_namespace(spark, d):
+    """A namespace and what lies below it are dropped; the others stay."""
+    store = _nation_store(spark, d)
+    regions = _table(spark, d, "region").select(F.col("r_name").alias("key"), F.array(F.lit(1.0), F.lit(0.0)).alias("vector"))
+    store.namespace("world/regions").insert_df(regions)
+    store.namespace("world/nations/small").insert_df(regions.limit(2))
+    store.drop_namespace("world/nations")
+    left = store.view().rows().groupBy("ns").agg(F.count(F.lit(1)).alias("n"))
+    return store.view().namespaces().join(left, F.col("path") == F.col("ns")).select("path", "n")
+
+
+@query(f"WITH {_SQL_NATIONS} SELECT 'n' || k AS key, round(x, 4) AS x, CASE WHEN k < 20 THEN 'there' ELSE 'not there' END AS found FROM n")
+def store_point_reads(spark, d):
+    """Point reads by key and rowid, of a copy of the store that was made before some records went."""
+    store = _nation_store(spark, d)
+    target = shared_path(spark, "backup")
+    store.backup_to(target)
+    for key in ("n20", "n21", "n22", "n23", "n24"):
+        store.namespace("world/nations").delete(key)
+    copy = MemoryStore.open(spark, target, store.config)
+    view, here = copy.view(), store.namespace("world/nations")
+    wanted = [r.key for r in copy.namespace("world/nations").iter().collect()]
+    by_id = view.get_many_by_rowid([copy.namespace("world/nations").get(k).rowid for k in wanted[:2]]) + copy.namespace("world/nations").get_many(wanted[2:])
+    there = {r.key for r in here.get_many(wanted) if r is not None}
+    assert view.get_vector(by_id[0].rowid) == list(by_id[0].vector) and here.exists(wanted[0])
+    data = [(r.key, float(r.vector[0]), "there" if r.key in there else "not there") for r in by_id]
+    return spark.createDataFrame(data, "key string, x double, found string").select("key", F.round("x", 4).alias("x"), "found")
+
+
+@query(
+    f"WITH {_SQL_NATIONS}, s AS (SELECT rowid, k, x AS c FROM n WHERE region <> 2 ORDER BY x DESC, rowid LIMIT 5), m AS (SELECT min(c) AS lo, max(c) AS hi FROM s) "
+    "SELECT 'n' || k AS key, CAST(17 AS BIGINT) AS query_id, round(0.5 * (c - lo) / (hi - lo), 4) AS sim, 0.25::DOUBLE AS importance, round(0.5 * (c - lo) / (hi - lo) + 0.25, 4) AS score FROM s, m WHERE k <> 0"
+)
+def store_explain(spark, d):
+    """A numbered search with its score taken apart, and a rerank hook that drops a hit."""
+    space = _nation_store(spark, d).namespace("world/nations")
+    found = space.search().vector([1.0, 0.0]).where("region != 2").top_k(5).score(w_sim=0.5, w_importance=0.5).query_id(17).rerank(lambda hits: hits.where("key <> 'n0'"))
+    four = lambda c: F.round(c, 4)
+    return found.execute().select("key", "query_id", four(F.col("breakdown.sim")).alias("sim"), four(F.col("breakdown.importance")).alias("importance"), four(F.col("score")).alias("score"))
+
+
+@query(f"WITH {_SQL_NATIONS} SELECT 'n' || k AS key, round(x, 5) AS score FROM n WHERE k > 0 ORDER BY x DESC, rowid LIMIT 4")
+def store_search_as_of(spark, d):
+    """A search of the state before some records changed and others went."""
+    times = iter([NOW, NOW + 1000])
+    clock = ManualClock(next(times))
+    store = _nation_store(spark, d, clock=clock)
+    space = store.namespace("world/nations")
+    space.delete("n0")
+    before = clock.now
+    clock.now = next(times)
+    space.update("n1", {"vector": [0.0, 1.0]})
+    space.delete("n2")
+    hits = space.search().vector([1.0, 0.0]).as_of(before).top_k(4).execute()
+    return hits.select("key", F.round("score", 5).alias("score"))
+
+
+@query(f"WITH {_SQL_NATIONS} SELECT rowid, CAST(sum(c) AS BIGINT) AS access_count FROM (SELECT rowid, 2 AS c FROM (SELECT rowid FROM n ORDER BY x DESC, rowid LIMIT 3) UNION ALL SELECT rowid, 1 FROM (SELECT rowid FROM n ORDER BY y DESC, rowid LIMIT 3)) GROUP BY rowid")
+def store_count_hits(spark, d):
+    """Searches count their hits, which a flush makes durable."""
+    store = _nation_store(spark, d, count_hits=True)
+    space = store.namespace("world/nations")
+    for vector in ([1.0, 0.0], [1.0, 0.0], [0.0, 1.0]):
+        space.search().vector(vector).top_k(3).execute()
+    store.flush()
+    rows = store.view().rows("world/nations", with_access=True).where("access_count > 0")
+    return rows.select("rowid", F.col("access_count").cast("bigint").alias("access_count"))
+
+
+@query(
+    f"WITH {_SQL_Q}, a AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 7 <> 1 UNION ALL SELECT -1, (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1)), "
+    f"s AS (SELECT vec_id, {_SQL_SCORES['cosine']} AS s FROM a, q) SELECT 'v' || vec_id AS key, round(s, 6) AS score FROM s ORDER BY s DESC, vec_id = -1, vec_id LIMIT 10"
+)
+def store_index_search(spark, d):
+    """A stored index, then rows that went and one that came: with all cells probed the result is the exact one."""
+    store = _store(spark, 64, index=IndexOptions(cells=12, brute_force_max_rows=0, recall_floor=1.0))
+    space = store.namespace("vectors")
+    rows = _vectors(spark, d).orderBy("rowid").select(F.concat(F.lit("v"), F.col("rowid")).alias("key"), "vector", F.to_json(F.struct(F.pmod("rowid", F.lit(7)).alias("seventh"))).alias("metadata"))
+    space.insert_df(rows)
+    index = store.build_index("vectors")
+    space.forget("seventh == 1")
+    space.insert({"key": "v-1", "vector": _first_vector(spark, d)})
+    hits = space.search().vector(_first_vector(spark, d)).using(index, len(index.centres)).top_k(10).execute()
+    return hits.select("key", _r6("score").alias("score"))
+
+
+@query(
+    "WITH RECURSIVE n AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS rowid, embedding::DOUBLE[] AS v, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS l FROM embeddings), "
+    "p AS (SELECT a.rowid AS a, b.rowid AS b FROM n a JOIN n b ON a.rowid <> b.rowid WHERE list_dot_product(a.v, b.v) / (a.l * b.l) >= 0.55), "
+    "r AS (SELECT a, a AS c FROM p UNION SELECT p.b, r.c FROM r JOIN p ON r.a = p.a WHERE r.c < p.b), c AS (SELECT a AS rowid, min(c) AS cluster FROM r GROUP BY a), "
+    "k AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY rowid) AS place FROM c) "
+    "SELECT min(rowid) AS first_source, CAST(count(*) AS BIGINT) AS sources FROM k WHERE place <= 8 GROUP BY cluster"
+)
+def store_consolidate(spark, d):
+    """Summaries of clusters of similar records, and the relations to their sources."""
+    store = _store(spark, 64)
+    space = store.namespace("vectors")
+    space.insert_df(_vectors(spark, d).orderBy("rowid").select(F.col("rowid").cast("string").alias("key"), "vector"))
+    space.consolidate(Consolidation(threshold=0.55, max_cluster=8, target="summaries"))
+    edges = store.view().edges()
+    return edges.groupBy("from_id").agg(F.min("to_id").alias("first_source"), F.count(F.lit(1)).alias("sources")).drop("from_id")
+
+
 @query("SELECT label, count(*) AS n FROM embeddings GROUP BY label")
 def stream_ingest(spark, d):
     """A file stream, ingested to its present end and read back."""

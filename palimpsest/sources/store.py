@@ -10,15 +10,19 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
+from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
+from typing import NamedTuple
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window, functions as F
 
-from palimpsest.config import Compaction, Consolidation, Dedup, InsertMode, Metric, RelationKind, Retention, StoreConfig
+from palimpsest.config import Compaction, Consolidation, Dedup, InsertMode, Metric, RelationKind, Retention, StoreConfig, notify
 from palimpsest.errors import (
     Closed, ConfigError, DimensionMismatch, DuplicateKey, KeyMismatch, LimitExceeded, MetaTooDeep, MetricMismatch, NonFinite,
-    NotFound, ReadOnly, TooLarge, Unsupported,
+    NotFound, ReadOnly, TooLarge,
 )
 from palimpsest.functions.scalar import clamp01, json_depth
 from palimpsest.functions.vector import is_finite
@@ -29,15 +33,18 @@ from palimpsest.plans.expr import Expr
 from palimpsest.plans.parser import as_expr
 from palimpsest.schema import RECORD, TABLES, VERSIONS, columns, types
 from palimpsest.sources.commits import CommitLog
-from palimpsest.sources.scratch import numbered
+from palimpsest.sources.scratch import numbered, saved, shared_path
 from palimpsest.sources.view import NamespaceView, View, normal_path
 
 #: `feedback`: what being used adds to importance, and being corrected takes from confidence.
 USED_BOOST, CORRECTED_PENALTY = 0.02, 0.1
-#: Deduplicating writes go record by record; larger frames must be split by the caller.
-SEQUENTIAL_ROWS = 10_000
+#: Deduplicating writes go record by record, so many at a time on the driver.
+BLOCK_RECORDS = 4096
+#: Stored matches that are fetched for each record at once; further ones are asked for as needed.
+KNOWN_MATCHES = 8
 
 INSERTED, MERGED, DUPLICATE = "inserted", "merged", "duplicate"
+OUTCOME = "ord bigint, status string, rowid bigint, score double"
 
 
 @dataclass(frozen=True)
@@ -87,11 +94,19 @@ class _Write:
             raise LimitExceeded("namespace path too deep")
         if re.search(r"[\x00-\x1f\x7f]", path):
             raise ConfigError("control character in a namespace path")
-        if path not in self.store.view().list_namespaces():
+        if self.view().namespaces().where(F.col("path") == path).isEmpty():
             self.append_rows("namespaces", [{"path": path, "seqno": self.take("next_seqno", 1), "dropped": False}])
 
+    def view(self) -> View:
+        """The state as it will be: with what this write has appended so far."""
+        return View(self.log, self.record, self.store.config, self.now)
+
     def commit(self, event: str, **details) -> None:
-        self.store.record = self.log.commit(self.record)
+        try:
+            self.store.record = self.log.commit(self.record)
+        except Exception as error:
+            self.store.tell("error", {"during": event, "error": str(error)})
+            raise
         self.store.tell(event, details)
 
 
@@ -104,7 +119,7 @@ class MemoryStore:
     @classmethod
     def open(cls, spark: SparkSession, root: str, config: StoreConfig) -> MemoryStore:
         """Opens a store, or makes one where there is none."""
-        log = CommitLog(spark, root)
+        log = CommitLog(spark, root, config.compression)
         record = log.newest()
         if record is None:
             if config.read_only:
@@ -120,11 +135,7 @@ class MemoryStore:
         return cls(log, record, replace(config, stopwords=record["stopwords"]))
 
     def tell(self, event: str, details: dict) -> None:
-        if self.config.observer is not None:
-            try:
-                self.config.observer(event, details)
-            except Exception:  # noqa: BLE001  an observer must not break a write
-                pass
+        notify(self.config.observer, event, details)
 
     def writing(self) -> _Write:
         if self.closed:
@@ -157,11 +168,19 @@ class MemoryStore:
         return moved
 
     def flush(self) -> None:
-        """Every write is durable when it returns, so there is nothing left to do."""
+        """Counts the hits of searches since the last flush; every write is durable when it returns."""
         if self.closed:
             raise Closed("the store is closed")
+        hits, self.log.hits = self.log.hits, []
+        if hits and not self.config.read_only:
+            write = self.writing()
+            write.append_rows("access", [{"rowid": i, "at_ms": write.now, "delta": n} for i, n in sorted(Counter(hits).items())])
+            write.commit("write", hits=len(hits))
+        self.tell("flush", {"hits": len(hits)})
 
     def close(self) -> None:
+        if not self.closed and self.log.hits:
+            self.flush()
         self.closed = True
 
     def stats(self) -> DataFrame:
@@ -252,8 +271,31 @@ class MemoryStore:
         return done
 
     def build_index(self, ns: str) -> ann.CellIndex:
-        """An approximate index of a namespace's live rows."""
-        return ann.build(self.view().rows(ns).select("rowid", "vector"), self.config.index, self.config.metric)
+        """Builds and stores an approximate index of a namespace's live rows; searches use it from then on.
+
+        Rows that change or come later are searched exactly beside it, so an index
+        is never stale, only less useful, until it is built again.
+        """
+        ns, write = normal_path(ns), self.writing()
+        name = f"data/indexes/{uuid.uuid4().hex}"
+        folder, seqno = f"{self.log.root}/{name}", write.record["next_seqno"]
+        index = ann.build(self.view().rows(ns).select("rowid", "seqno", "vector"), self.config.index, self.config.metric, f"{folder}/rows", seqno)
+        centres = [(i, [float(x) for x in c]) for i, c in enumerate(index.centres)]
+        self.log.spark.createDataFrame(centres, "cell int, centre array<double>").coalesce(1).write.parquet(f"{folder}/centres")
+        entry = {"folder": name, "seqno": seqno, "size": index.size, "probes": index.probes}
+        write.record["indexes"] = {**write.record.get("indexes", {}), ns: entry}
+        write.commit("write", index=ns)
+        return index
+
+    def drop_index(self, ns: str) -> bool:
+        """Forgets a namespace's index; its files go at the next vacuum."""
+        known = self.record.get("indexes", {})
+        if normal_path(ns) not in known:
+            return False
+        write = self.writing()
+        write.record["indexes"] = {k: v for k, v in known.items() if k != normal_path(ns)}
+        write.commit("write", index=ns)
+        return True
 
 
 def _bury(write: _Write, rows: DataFrame) -> int:
@@ -274,6 +316,67 @@ def _plain(record: dict) -> dict:
     return out
 
 
+class _Match(NamedTuple):
+    """A row that a record repeats, and how closely; an equal text goes before any vector."""
+
+    rowid: int
+    score: float
+    by_text: bool = False
+
+
+class _Pending:
+    """Records of a block as they stand, in the order in which their rows came up."""
+
+    def __init__(self, most: int, dimension: int) -> None:
+        self.units, self.alive = np.zeros((most, dimension)), np.zeros(most, bool)
+        self.rows: list[tuple[int, dict] | None] = []
+        self.place: dict[int, int] = {}
+        self.texts: dict[str, set[int]] = {}
+
+    @staticmethod
+    def _unit(values: Sequence[float]) -> np.ndarray:
+        v = np.asarray(values, np.float64)
+        return v / max(float(np.linalg.norm(v)), 1e-12)
+
+    def record(self, rowid: int) -> dict | None:
+        at = self.place.get(rowid)
+        return None if at is None else self.rows[at][1]
+
+    def drop(self, rowid: int) -> dict | None:
+        at = self.place.pop(rowid, None)
+        if at is None:
+            return None
+        old = self.rows[at][1]
+        self.rows[at] = None
+        self.texts.get(old.get("text"), set()).discard(at)
+        self.alive[at] = False
+        return old
+
+    def put(self, rowid: int, record: dict) -> None:
+        """Sets a row's record; a row that is there already keeps its place."""
+        at = self.place.get(rowid)
+        if at is None:
+            at = self.place[rowid] = len(self.rows)
+            self.rows.append(None)
+        else:
+            self.texts.get(self.rows[at][1].get("text"), set()).discard(at)
+        self.rows[at] = (rowid, record)
+        self.units[at], self.alive[at] = self._unit(record["vector"]), True
+        if record.get("text") is not None:
+            self.texts.setdefault(record["text"], set()).add(at)
+
+    def best(self, record: dict, threshold: float) -> _Match | None:
+        """The earliest row of equal text, else the one of the closest vector, the earliest of equals."""
+        n = len(self.rows)
+        if not self.place:
+            return None
+        if record["text"] is not None and (equal := self.texts.get(record["text"])):
+            return _Match(self.rows[min(equal)][0], 1.0, True)
+        similar = np.where(self.alive[:n], np.minimum(self.units[:n] @ self._unit(record["vector"]), 1.0), -np.inf)
+        at = int(np.argmax(similar))
+        return _Match(self.rows[at][0], float(similar[at])) if similar[at] >= threshold else None
+
+
 def _checked_number(name: str, value: float | None) -> None:
     if value is not None and not math.isfinite(value):
         raise NonFinite(name)
@@ -308,30 +411,34 @@ class Namespace(NamespaceView):
                 raise ConfigError(f"unknown fields {sorted(unknown)}")
         rows = [tuple(_plain(r).values()) for r in records]
         frame = self.store.log.spark.createDataFrame(rows, RECORD).coalesce(1)
-        if self.store.config.dedup in (Dedup.OFF, Dedup.KEEP_BOTH):
-            return self._outcomes(self._append(frame))
-        return self._one_by_one(frame, list(records))
+        return self._outcomes(self.insert_df(frame))
 
     def insert_df(self, frame: DataFrame, stream: tuple[str, int] | None = None) -> DataFrame:
-        """Inserts any number of rows in their order; returns (ord, status, rowid).
+        """Inserts any number of rows in their order; returns (ord, status, rowid, score).
 
         Later rows of a key are newer versions of earlier ones. `stream` names a
-        source and its batch: a batch that was committed before is skipped.
+        source and its batch: a batch that was committed before is skipped, in
+        every mode.
         """
-        if self.store.config.dedup not in (Dedup.OFF, Dedup.KEEP_BOTH):
-            rows = frame.limit(SEQUENTIAL_ROWS + 1).collect()
-            if len(rows) > SEQUENTIAL_ROWS:
-                raise Unsupported(f"deduplicating writes take at most {SEQUENTIAL_ROWS} rows at once")
-            names = [c for c in columns(RECORD) if c in frame.columns]
-            out = self.insert_batch([{c: r[c] for c in names} for r in rows])
-            data = [(i, o.status, o.rowid) for i, o in enumerate(out)]
-            return frame.sparkSession.createDataFrame(data, "ord bigint, status string, rowid bigint")
-        return self._append(frame, stream)
+        write = self.store.writing()
+        if stream is not None:
+            if write.record["streams"].get(stream[0], -1) >= stream[1]:
+                return self.store.log.spark.createDataFrame([], OUTCOME)
+            write.record["streams"] = {**write.record["streams"], stream[0]: stream[1]}
+        rows, n = numbered(self._shaped(frame), "insert")
+        self._validate(rows)
+        if not n:
+            if stream is not None:
+                write.commit("write", inserted=0)
+            return self.store.log.spark.createDataFrame([], OUTCOME)
+        write.register(self.path)
+        if self.store.config.dedup in (Dedup.OFF, Dedup.KEEP_BOTH):
+            return self._append(write, rows, n)
+        return self._deduplicated(write, rows, n)
 
     @staticmethod
     def _outcomes(placed: DataFrame) -> list[Outcome]:
-        rows = placed.orderBy("ord").collect()
-        return [Outcome(r.status, r.rowid, 0.0 if r.status == DUPLICATE else None) for r in rows]
+        return [Outcome(r.status, r.rowid, r.score) for r in placed.orderBy("ord").collect()]
 
     def _shaped(self, frame: DataFrame) -> DataFrame:
         """All record columns, missing ones null."""
@@ -358,41 +465,21 @@ class Namespace(NamespaceView):
             if n:
                 raise kind(f"{message} ({n} rows)")
 
-    def _owners(self, write: _Write) -> DataFrame:
-        """(key, owner, owned): the row that has or last had each key, and whether it is live."""
-        live = versions.live(write.now)
-        known = self.view.newest(self.path).where("key IS NOT NULL").select("key", "rowid", "seqno", live.alias("live"))
-        best = known.groupBy("key").agg(F.max(F.struct("live", "seqno", "rowid")).alias("o"))
-        return best.select("key", F.col("o.rowid").alias("owner"), F.col("o.live").alias("owned"))
-
-    def _versions(self, rows: DataFrame, write: _Write) -> DataFrame:
+    def _versions(self, rows: DataFrame, write: _Write, deleted: Column | None = None) -> DataFrame:
         """Version columns for shaped records that have rowid and seqno."""
         now = F.lit(write.now)
         return rows.select(
-            "rowid", F.lit(self.path).alias("ns"), "seqno", now.alias("tx_ms"), F.lit(False).alias("deleted"), "key", "vector", "text",
+            "rowid", F.lit(self.path).alias("ns"), "seqno", now.alias("tx_ms"), (F.lit(False) if deleted is None else deleted).alias("deleted"), "key", "vector", "text",
             "metadata", now.alias("created_at"), (now + F.col("ttl_ms")).alias("expires_at"),
             clamp01(F.coalesce("importance", F.lit(0.5).cast("float"))).alias("importance"),
             clamp01(F.coalesce("confidence", F.lit(1.0).cast("float"))).alias("confidence"),
             F.coalesce("valid_from", now).alias("valid_from"), "valid_to", "provenance",
         )
 
-    def _append(self, frame: DataFrame, stream: tuple[str, int] | None = None) -> DataFrame:
-        write = self.store.writing()
-        empty = self.store.log.spark.createDataFrame([], "ord bigint, status string, rowid bigint")
-        if stream is not None:
-            if write.record["streams"].get(stream[0], -1) >= stream[1]:
-                return empty
-            write.record["streams"] = {**write.record["streams"], stream[0]: stream[1]}
-        rows, n = numbered(self._shaped(frame), "insert")
-        self._validate(rows)
-        if not n:
-            if stream is not None:
-                write.commit("write", inserted=0)
-            return empty
-        write.register(self.path)
+    def _append(self, write: _Write, rows: DataFrame, n: int) -> DataFrame:
         # The first row of each key; rows without a key each stand alone, and never meet in a group.
         heads = rows.where("key IS NOT NULL").groupBy("key").agg(F.min("ord").alias("head"))
-        placed = rows.join(heads, "key", "left").join(self._owners(write), "key", "left")
+        placed = rows.join(heads, "key", "left").join(NamespaceView(write.view(), self.path).owners(), "key", "left")
         head = F.coalesce("head", "ord")
         first_id, first_seq = write.take("next_rowid", n), write.take("next_seqno", n)
         reject = self.store.config.insert_mode is InsertMode.REJECT_DUPLICATE
@@ -401,89 +488,118 @@ class Namespace(NamespaceView):
         placed = placed.withColumn("status", F.when(taken, DUPLICATE).otherwise(INSERTED))
         write.append("versions", self._versions(placed.where(F.col("status") == INSERTED), write))
         write.commit("write", inserted=n)
-        return placed.select("ord", "status", "rowid")
-
-    def _best_stored(self, rows: DataFrame, without: Sequence[int] = ()) -> dict[int, tuple[int, float]]:
-        """For each row (ord, text, vector) the live row that it repeats: equal text first, else the closest vector."""
-        stored = self.view.rows(self.path)
-        if without:
-            stored = stored.where(~F.col("rowid").isin(*without))
-        close = similarity.nearest_above(rows.select("ord", "vector"), stored, self.store.config.dedup_threshold)
-        found = {r.ord: (r.rowid, float(r.score)) for r in close.collect()}
-        same = rows.where("text IS NOT NULL").select("ord", "text").join(stored.select("text", "rowid"), "text")
-        found |= {r.ord: (r.rowid, 1.0) for r in same.groupBy("ord").agg(F.min("rowid").alias("rowid")).collect()}
-        return found
+        return placed.select("ord", "status", "rowid", F.when(F.col("status") == DUPLICATE, 0.0).alias("score"))
 
-    def _one_by_one(self, frame: DataFrame, records: list[dict]) -> list[Outcome]:
-        """Deduplicating insert: each record sees what the ones before it left."""
-        import numpy as np
+    def _deduplicated(self, write: _Write, rows: DataFrame, n: int) -> DataFrame:
+        """Inserts in which each record sees what the ones before it left, in one commit.
 
-        config, write = self.store.config, self.store.writing()
-        rows, n = numbered(self._shaped(frame), "insert")
-        self._validate(rows)
-        write.register(self.path)
-        shaped = [r.asDict() for r in rows.orderBy("ord").collect()]
-        owners = {r.key: r.owner for r in rows.select("key").join(self._owners(write), "key").collect()}
-        stored, replaced = self._best_stored(rows), set()
-        pending: dict[int, dict] = {}  # rowid -> the record as it stands in this batch
-        out_rows, outcomes = [], []
-
-        def unit(v):
-            v = np.asarray(v, np.float64)
-            return v / max(float(np.linalg.norm(v)), 1e-12)
+        The rule is sequential, so any number of records goes through the driver, but
+        only `BLOCK_RECORDS` of them at a time: a block is matched against the store
+        and all blocks before it in one job, and settled among itself in memory.
+        Outcomes are written block by block.
+        """
+        spark, folder = rows.sparkSession, shared_path(rows.sparkSession, "outcomes")
+        ordered = saved(rows, "ordered") if n > BLOCK_RECORDS else rows
+        inserted = 0
+        for start in range(0, n, BLOCK_RECORDS):
+            block = ordered.where(F.col("ord").between(start, start + BLOCK_RECORDS - 1))
+            outcomes, made = self._settle(write, block, start)
+            inserted += made
+            spark.createDataFrame(outcomes, OUTCOME).coalesce(1).write.mode("append").parquet(folder)
+        write.commit("write", inserted=inserted)
+        return spark.read.schema(OUTCOME).parquet(folder)
+
+    def _settle(self, write: _Write, block: DataFrame, start: int) -> tuple[list[tuple], int]:
+        """Outcomes (ord, status, rowid, score) of one block of records, and how many versions it wrote."""
+        config, space = self.store.config, NamespaceView(write.view(), self.path)
+        records = [r.asDict() for r in block.orderBy("ord").collect()]
+        for r in records:
+            r.pop("ord")
+        owners = {r.key: r.owner for r in space.owners().join(block.select("key").distinct(), "key").collect()}
+        stored = self._stored_matches(space, block)
+        wanted = sorted({m.rowid for found in stored.values() for m in found})
+        known = {r.rowid: r.asDict() for r in self._by_rowid(space, wanted)}
+        pending, replaced, out_rows, outcomes = _Pending(len(records), config.dimension), set(), [], []
 
         def place(record: dict, rowid: int, deleted: bool = False) -> None:
             out_rows.append({**record, "rowid": rowid, "seqno": write.take("next_seqno", 1), "_deleted": deleted})
 
-        for i, record in enumerate(shaped):
-            match = stored.get(i)
-            if match and match[0] in replaced:
-                match = self._best_stored(rows.where(F.col("ord") == i), sorted(replaced)).get(i)
-            if match and match[0] in pending:
-                match = None  # its state of this batch counts, below
-            for rowid, other in pending.items():
-                if record["text"] is not None and record["text"] == other["text"]:
-                    similar = 1.0
-                else:
-                    similar = float(unit(record["vector"]) @ unit(other["vector"]))
-                if similar >= config.dedup_threshold and (match is None or similar > match[1]):
-                    match = (rowid, similar)
+        def best_stored(i: int) -> _Match | None:
+            """The best match among stored rows that this block hasn't changed; of the others its own state counts."""
+            first = stored.get(start + i, [])
+            found = [m for m in first if m.rowid not in replaced and m.rowid not in pending.place]
+            if not found and len(first) == KNOWN_MATCHES:
+                # This block has changed all matches that are known; ask for the next ones.
+                changed = sorted(replaced | set(pending.place))
+                found = self._stored_matches(space, block.where(F.col("ord") == start + i), changed).get(start + i, [])
+                known.update((r.rowid, r.asDict()) for r in self._by_rowid(space, [m.rowid for m in found if m.rowid not in known]))
+            return found[0] if found else None
+
+        for i, record in enumerate(records):
+            match = best_stored(i)
+            other = pending.best(record, config.dedup_threshold)
+            if other is not None and (match is None or (other.by_text, other.score) > (match.by_text, match.score)):
+                match = other
             target = owners.get(record["key"]) if record["key"] is not None else None
             if match and config.dedup is Dedup.REJECT:
-                outcomes.append(Outcome(DUPLICATE, *match))
+                outcomes.append((start + i, DUPLICATE, match.rowid, match.score))
                 continue
             merged = None
             if match and config.dedup is Dedup.MERGE:
-                existing = pending.get(match[0]) or self.view.get_by_rowid(match[0]).asDict()
-                merged = config.merge(existing, records[i])
+                merged = config.merge(pending.record(match.rowid) or known[match.rowid], record)
             if merged is not None:
                 whole = _plain(merged)
-                place(whole, match[0])
-                pending[match[0]] = whole
-                outcomes.append(Outcome(MERGED, match[0], match[1]))
+                place(whole, match.rowid)
+                pending.put(match.rowid, whole)
+                outcomes.append((start + i, MERGED, match.rowid, match.score))
                 continue
             if match and config.dedup is Dedup.REPLACE:
-                old = pending.pop(match[0], None) or self.view.get_by_rowid(match[0]).asDict()
-                place({c: old.get(c) for c in columns(RECORD)}, match[0], deleted=True)
-                replaced.add(match[0])
+                old = pending.drop(match.rowid) or known[match.rowid]
+                place({c: old.get(c) for c in columns(RECORD)}, match.rowid, deleted=True)
+                replaced.add(match.rowid)
                 target = None  # a replacement is always a new row
             rowid = write.take("next_rowid", 1) if target is None else target
             if record["key"] is not None:
                 owners[record["key"]] = rowid
             place(record, rowid)
-            pending[rowid] = record
-            outcomes.append(Outcome(INSERTED, rowid))
+            pending.put(rowid, record)
+            outcomes.append((start + i, INSERTED, rowid, None))
         if out_rows:
             names = columns(RECORD)
             data = [tuple(r[c] for c in names) + (r["rowid"], r["seqno"], r["_deleted"]) for r in out_rows]
             made = self.store.log.spark.createDataFrame(data, RECORD + ", rowid BIGINT, seqno BIGINT, gone BOOLEAN").coalesce(1)
-            gone = {r["seqno"] for r in out_rows if r["_deleted"]}
-            full = self._versions(made, write)
-            if gone:
-                full = full.withColumn("deleted", F.col("seqno").isin(*gone))
+            full = self._versions(made, write, F.col("gone"))
             write.append("versions", full)
-        write.commit("write", inserted=len(out_rows))
-        return outcomes
+        return outcomes, len(out_rows)
+
+    def _stored_matches(self, space: NamespaceView, block: DataFrame, without: Sequence[int] = ()) -> dict[int, list[_Match]]:
+        """For each row (ord, text, vector) the live rows that it repeats, best first: equal text, then the closest vectors."""
+        stored = space.rows()
+        if without:
+            stored = stored.where(~F.col("rowid").isin(*without))
+        close = similarity.nearest_above(block.select("ord", "vector"), stored, self.store.config.dedup_threshold, KNOWN_MATCHES)
+        found: dict[int, list[_Match]] = {}
+        for r in close.orderBy("ord", "rank").collect():
+            found.setdefault(r.ord, []).append(_Match(r.rowid, min(float(r.score), 1.0)))
+        # Texts meet by a wide digest; of a text that very many rows have, few are fetched.
+        digest = F.sha2("text", 256).alias("digest")
+        same = block.where("text IS NOT NULL").select("ord", digest).join(stored.where("text IS NOT NULL").select(digest, "rowid"), "digest")
+        first = F.row_number().over(Window.partitionBy("ord").orderBy("rowid"))
+        equal: dict[int, list[_Match]] = {}
+        for r in same.withColumn("place", first).where(F.col("place") <= KNOWN_MATCHES).orderBy("ord", "rowid").collect():
+            equal.setdefault(r.ord, []).append(_Match(r.rowid, 1.0, True))
+        for ord_, matches in equal.items():
+            known = {m.rowid for m in matches}
+            found[ord_] = (matches + [m for m in found.get(ord_, []) if m.rowid not in known])[:KNOWN_MATCHES]
+        return found
+
+    @staticmethod
+    def _by_rowid(space: NamespaceView, ids: Sequence[int]) -> list[Row]:
+        """The live rows of at most a block's matches."""
+        if not ids:
+            return []
+        wanted = space.view.log.spark.createDataFrame([(i,) for i in ids], "rowid bigint")
+        return space.rows().join(F.broadcast(wanted), "rowid").drop("deleted").collect()
 
     # ---- single rows -----------------------------------------------------
 

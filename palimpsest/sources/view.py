@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, Row, functions as F
 
 from palimpsest.config import StoreConfig
-from palimpsest.operators import graph, stats, versions
+from palimpsest.operators import ann, graph, stats, versions
 from palimpsest.plans.compile import compile_filter
 from palimpsest.plans.expr import Expr
 from palimpsest.plans.parser import as_expr
@@ -59,10 +60,26 @@ class View:
     def edges(self) -> DataFrame:
         return graph.current_edges(self.log.table(self.record, "edges"))
 
+    def index(self, ns: str) -> ann.CellIndex | None:
+        """The stored index of a namespace, if one was built."""
+        entry = self.record.get("indexes", {}).get(normal_path(ns))
+        if entry is None:
+            return None
+        if entry["folder"] not in self.log.indexes:
+            folder, spark = f"{self.log.root}/{entry['folder']}", self.log.spark
+            # As many centres as `cells` or `train_rows` allow.
+            rows = spark.read.schema("cell int, centre array<double>").parquet(f"{folder}/centres").collect()
+            centres = np.array([r.centre for r in sorted(rows)], np.float64)
+            self.log.indexes[entry["folder"]] = ann.load(spark, f"{folder}/rows", centres, self.config.metric, entry["probes"], entry["size"], entry["seqno"])
+        return self.log.indexes[entry["folder"]]
+
+    def namespaces(self) -> DataFrame:
+        """(path) of all registered namespaces."""
+        return versions.latest(self.log.table(self.record, "namespaces"), ("path",)).where(~F.col("dropped")).select("path")
+
     def list_namespaces(self) -> list[str]:
-        """Registered paths in order; one row each, so the driver gets names only."""
-        log = versions.latest(self.log.table(self.record, "namespaces"), ("path",)).where(~F.col("dropped"))
-        return [r.path for r in log.select("path").orderBy("path").collect()]
+        """Registered paths in order; see `namespaces` for very many."""
+        return [r.path for r in self.namespaces().orderBy("path").collect()]
 
     def namespace(self, path: str) -> NamespaceView:
         return NamespaceView(self, path)
@@ -93,8 +110,7 @@ class View:
 
     def check(self) -> DataFrame:
         """(problem, n) of the rules that the tables break; empty if all is well."""
-        names = versions.latest(self.log.table(self.record, "namespaces"), ("path",)).where(~F.col("dropped"))
-        return stats.problems(self.versions(), self.edges(), names, self.now)
+        return stats.problems(self.versions(), self.edges(), self.namespaces(), self.now)
 
 
 class NamespaceView:
@@ -117,6 +133,18 @@ class NamespaceView:
             rows = versions.with_access(rows, view.log.table(view.record, "access"))
         return rows if expr is None else rows.where(compile_filter(expr))
 
+    def rows(self) -> DataFrame:
+        """Live rows in no order."""
+        return self.view.rows(self.path)
+
+    def owners(self) -> DataFrame:
+        """(key, owner, owned): the row that has or last had each key, and whether it is live."""
+        view = self.view
+        live = versions.live(view.now).alias("live")
+        known = view.newest(self.path).where("key IS NOT NULL").select("key", "rowid", "seqno", live)
+        best = known.groupBy("key").agg(F.max(F.struct("live", "seqno", "rowid")).alias("o"))
+        return best.select("key", F.col("o.rowid").alias("owner"), F.col("o.live").alias("owned"))
+
     def iter(self, condition: Expr | str | None = None, include_deleted: bool = False) -> DataFrame:
         """Matching rows by rowid; with `include_deleted` tombstones and expired rows too."""
         return self._where(condition, include_deleted).orderBy("rowid")

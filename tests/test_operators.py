@@ -249,7 +249,53 @@ def test_index_with_all_cells_is_exact(spark):
     for metric in Metric:
         index = ann.build(rows, IndexOptions(cells=9, train_rows=100), metric)
         assert _ids(index.search(data[0].tolist(), 7, 9)) == _ids(knn.top_k(rows, data[0].tolist(), 7, metric))
-    assert not ann.wants_index(5000, 2048, IndexOptions()) and ann.wants_index(5000, 2049, IndexOptions())
+        queries = spark.createDataFrame([(i, data[i].tolist()) for i in range(0, 300, 20)], "query_id bigint, qvec array<float>")
+        exact = knn.batch_top_k(rows, queries, 7, metric)
+        found = index.batch_search(queries, 7, 9)
+        assert sorted((r.query_id, r.rank, r.rowid) for r in found.collect()) == sorted((r.query_id, r.rank, r.rowid) for r in exact.collect())
+    assert not ann.wants_index(2048, IndexOptions()) and ann.wants_index(2049, IndexOptions())
+
+
+def test_index_reaches_its_recall_floor(spark):
+    """Clustered vectors: the measured recall rises with the probes, and the chosen probes reach the floor on all queries."""
+    dice = np.random.default_rng(9)
+    centres = dice.standard_normal((40, 16))
+    data = centres[dice.integers(0, 40, 2500)] + 0.3 * dice.standard_normal((2500, 16))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], VECTORS).repartition(4)
+    index = ann.build(rows, IndexOptions(probes=1, recall_floor=0.98, sample_queries=64))
+    assert 1 <= index.probes < len(index.centres) == 50
+    shares = ann.recall_by_probes(index, 32, 10)
+    assert (np.diff(shares) >= 0).all() and shares[-1] == 1.0
+    queries = spark.createDataFrame([(i, data[i].tolist()) for i in range(0, 2500, 20)], "query_id bigint, qvec array<float>")
+    got = ann.recall(knn.batch_top_k(rows, queries, 10), index.batch_search(queries, 10)).agg(F.avg("recall"), F.count(F.lit(1))).first()
+    assert got[1] == 125 and got[0] >= 0.95
+    plan = index.probed(data[0].tolist(), 2)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [cell" in plan.replace("isnotnull(cell#", "cell#")[:100_000] or "PartitionFilters" in plan
+
+
+def test_filter_tiers():
+    index = ann.CellIndex(np.zeros((64, 2)), None, Metric.COSINE, 4, 100_000)
+    assert ann.probes_for(index, 50, 100_000, 10) is None and ann.probes_for(index, 1000, 2000, 10) is None
+    assert ann.probes_for(index, 100_000, 100_000, 10) == 4 and ann.probes_for(index, 50_000, 100_000, 10) == 8
+    assert ann.probes_for(index, 20_000, 100_000, 10) == 20 and ann.probes_for(index, 5_000, 100_000, 10) == 16
+    assert ann.probes_for(index, 3_000, 100_000, 4000) is None
+
+
+@pytest.mark.parametrize("metric", list(Metric))
+def test_batches_in_many_blocks(spark, metric):
+    """Blocks of queries, ties, NaN, vectors of other lengths and nulls: as one query after the other."""
+    dice = np.random.default_rng(4)
+    data = [v.tolist() for v in dice.integers(-2, 3, (150, 3)).astype(float)] + [None, [1.0], [float("nan"), 1.0, 1.0]]
+    rows = spark.createDataFrame(list(enumerate(data)), VECTORS).repartition(3)
+    queries = spark.createDataFrame([(i, data[i]) for i in range(0, 150, 7)], "query_id bigint, qvec array<float>")
+    want = {}
+    for q in range(0, 150, 7):
+        want[q] = _ids(knn.top_k(rows.where("size(vector) = 3"), data[q], 9, metric))
+    for block_bytes in (1 << 20, 100):
+        got = {}
+        for r in knn.batch_top_k(rows, queries, 9, metric, block_bytes=block_bytes).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.rowid)
+        assert got == want
 
 
 def test_key_ring(spark):

@@ -55,23 +55,8 @@ def test_mmr_top10(spark, sf):
     assert [r.rowid for r in got] == [r.rowid for r in chosen]
 
 
-def test_cells_recall(spark, sf):
-    """Over every query of the stated set the probed cells hold at least 0.9 of the true neighbours."""
-    from palimpsest.config import IndexOptions
-    from palimpsest.operators import ann
-
-    rows = queries._vectors(spark, sf).select("rowid", "vector")
-    index = ann.build(rows, IndexOptions(cells=16))
-    placed = index.rows.select("rowid", "vector", "cell").collect()
-    unit = {r.rowid: np.array(r.vector) / np.linalg.norm(r.vector) for r in placed}
-    hits = total = 0
-    for row in placed:
-        if row.rowid % 20:
-            continue
-        order = sorted(unit, key=lambda i: (-float(unit[i] @ unit[row.rowid]), i))[:10]
-        cells = set(index.probes(row.vector, 12))
-        hits += sum(next(r.cell for r in placed if r.rowid == i) in cells for i in order)
-        total += 10
-    assert hits / total >= 0.9
-    exact = index.search(placed[0].vector, 5, 16).collect()
-    assert [r.rowid for r in exact] == sorted(unit, key=lambda i: (-float(unit[i] @ unit[placed[0].rowid]), i))[:5]
+def test_measured_recall(spark, sf):
+    """Over every query of the stated set the cells and the byte codes find at least 0.95 of the true neighbours."""
+    rows = queries.recall_report(spark, sf).collect()
+    assert len(rows) == 25 and all(r.n == 10 for r in rows)
+    assert np.mean([r.cells_recall for r in rows]) >= 0.95 and np.mean([r.codes_recall for r in rows]) >= 0.95
