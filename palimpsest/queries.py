@@ -789,7 +789,7 @@ def store_search(spark, d):
 
 @query(
     "WITH e AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS ord, text, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS n FROM documents) "
-    "SELECT CAST(ord AS BIGINT) AS ord, CASE WHEN n > 1 AND text IS NOT NULL THEN 'duplicate' ELSE 'inserted' END AS status, CASE WHEN n > 1 AND text IS NOT NULL THEN 1.0 END AS score FROM e"
+    "SELECT CAST(ord AS BIGINT) AS ord, CASE WHEN n > 1 AND text IS NOT NULL THEN 'duplicate' ELSE 'inserted' END AS status, CASE WHEN n > 1 AND text IS NOT NULL THEN 1.0::DOUBLE END AS score FROM e"
 )
 def store_dedup(spark, d):
     """A deduplicating write of all documents: a text that is there already is refused. Vectors are far apart."""
@@ -963,7 +963,7 @@ def store_index_search(spark, d):
 
 @query(
     "WITH RECURSIVE n AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS rowid, embedding::DOUBLE[] AS v, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS l FROM embeddings), "
-    "p AS (SELECT a.rowid AS a, b.rowid AS b FROM n a JOIN n b ON a.rowid <> b.rowid WHERE list_dot_product(a.v, b.v) / (a.l * b.l) >= 0.55), "
+    "p AS (SELECT a.rowid AS a, b.rowid AS b FROM n a JOIN n b ON a.rowid <> b.rowid WHERE list_dot_product(a.v, b.v) / (a.l * b.l) >= 0.4), "
     "r AS (SELECT a, a AS c FROM p UNION SELECT p.b, r.c FROM r JOIN p ON r.a = p.a WHERE r.c < p.b), c AS (SELECT a AS rowid, min(c) AS cluster FROM r GROUP BY a), "
     "k AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY rowid) AS place FROM c) "
     "SELECT min(rowid) AS first_source, CAST(count(*) AS BIGINT) AS sources FROM k WHERE place <= 8 GROUP BY cluster"
@@ -973,7 +973,7 @@ def store_consolidate(spark, d):
     store = _store(spark, 64)
     space = store.namespace("vectors")
     space.insert_df(_vectors(spark, d).orderBy("rowid").select(F.col("rowid").cast("string").alias("key"), "vector"))
-    space.consolidate(Consolidation(threshold=0.55, max_cluster=8, target="summaries"))
+    space.consolidate(Consolidation(threshold=0.4, max_cluster=8, target="summaries"))
     edges = store.view().edges()
     return edges.groupBy("from_id").agg(F.min("to_id").alias("first_source"), F.count(F.lit(1)).alias("sources")).drop("from_id")
 

@@ -341,18 +341,23 @@ def test_components_around_a_hub(spark):
     assert {n for n, c in got.items() if c == 1} == {x for p in pairs[:-1] for x in p} and got[9002] == 9001
 
 
-def test_shared_folder_is_required_on_clusters(spark, monkeypatch):
-    class Context:
-        master = "spark://host:7077"
-
+@pytest.mark.parametrize("master, named, fits", [("spark://host:7077", None, False), ("local-cluster[2,1,1024]", None, False), ("yarn", "hdfs:///shared/", True), ("local[4]", None, True)])
+def test_shared_folder_is_required_on_clusters(master, named, fits):
     class Session:
-        sparkContext = Context()
-        conf = spark.conf
-
-    if spark.conf.get("spark.checkpoint.dir", None):
-        pytest.skip("the session names a folder")
-    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        shared_dir(Session())
+        class sparkContext:  # noqa: N801
+            pass
+
+        class conf:  # noqa: N801
+            @staticmethod
+            def get(name, default=None):
+                return named if name == "spark.checkpoint.dir" else default
+
+    Session.sparkContext.master = master
+    if fits:
+        assert shared_dir(Session()) == "hdfs:///shared" if named else shared_dir(Session()).startswith("file:///")
+    else:
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            shared_dir(Session())
 
 
 def test_saved_frames_can_be_removed(spark):
