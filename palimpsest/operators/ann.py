@@ -7,17 +7,18 @@ codes only leave out rows that can't be among them.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from palimpsest.config import IndexOptions, Metric
 from palimpsest.functions.quant import ByteCodes
 from palimpsest.functions.vector import best_first, dot, matrix_scores, score, vector as as_vector
-from palimpsest.operators.knn import batch_top_k, ranked, top_k
+from palimpsest.operators.knn import SCORES_AT_ONCE, batch_top_k, by_blocks, merge_best, top_k
 from palimpsest.sources.scratch import shared_path
 
 #: Distances of rows to centres are computed so many at a time.
@@ -68,19 +69,44 @@ class CellIndex:
     def batch_search(self, queries: DataFrame, k: int, n_probes: int | None = None) -> DataFrame:
         """(query_id, rowid, score, rank) of the k best rows of each query's probed cells, for any number of queries.
 
-        Queries meet the rows cell by cell in an equi-join on the cell, so only
-        probed cells are read for them.
+        As the exact batch, but the rows of a cell only meet the queries that probe it.
         """
-        n, shared, metric = n_probes or self.probes, self.rows.sparkSession.sparkContext.broadcast(self.centres), self.metric
-
-        @F.pandas_udf("array<int>")
-        def cells(vectors: pd.Series) -> pd.Series:
-            matrix = np.stack([np.asarray(v, np.float64) for v in vectors])
-            return pd.Series(list(_cell_order(shared.value, matrix, metric)[:, :n].astype(np.int32)))
-
-        dealt = queries.select("query_id", F.col("qvec"), F.explode(cells(F.col("qvec").cast("array<double>"))).alias("cell"))
-        scored = self.rows.join(dealt, "cell").select("query_id", "rowid", score(metric, as_vector("vector"), as_vector("qvec")).alias("score"))
-        return ranked(scored.where("score IS NOT NULL"), k, metric.higher_is_better)
+        n, centres, metric = n_probes or self.probes, self.centres, self.metric
+
+        def scorer(ids: np.ndarray, matrix: np.ndarray):
+            # Each cell's queries, as (cell, query) in order of the cell.
+            cells = _cell_order(centres, matrix, metric)[:, :n] if len(ids) else np.zeros((0, 1), np.int64)
+            order = np.argsort(cells, axis=None, kind="stable")
+            query, ends = order // cells.shape[1], np.searchsorted(cells.ravel()[order], np.arange(len(centres) + 1))
+            return _cell_scorer(ids, matrix, query, ends, k, metric)
+
+        return by_blocks(self.rows.select("rowid", "vector", "cell"), queries, k, metric, scorer)
+
+
+def _cell_scorer(ids: np.ndarray, matrix: np.ndarray, query: np.ndarray, ends: np.ndarray, k: int, metric: Metric):
+    """Scores the rows of each cell against its queries, keeping k rows a query and task."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        for batch in batches:
+            if not len(batch):
+                continue
+            cells, rows = batch.column("cell").to_numpy(), batch.column("rowid").to_numpy()
+            vectors = batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
+            order = np.argsort(cells, kind="stable")
+            starts = np.flatnonzero(np.concatenate(([True], cells[order][1:] != cells[order][:-1])))
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(order)]):
+                cell = cells[order[a]]
+                asked = query[ends[cell] : ends[cell + 1]]
+                step = max(1, SCORES_AT_ONCE // max(1, len(asked)))
+                for at in range(a, b if len(asked) else a, step):
+                    part = order[at : min(at + step, b)]
+                    scores = matrix_scores(metric, vectors[part].astype(np.float64), matrix[asked]).T
+                    best = merge_best(metric, k, best, scores, rows[part], asked)
+        number, value, row = best
+        yield pa.RecordBatch.from_arrays([pa.array(ids[number]), pa.array(row), pa.array(value)], ["query_id", "rowid", "score"])
+
+    return scan
 
 
 def _cell_order(centres: np.ndarray, queries: np.ndarray, metric: Metric) -> np.ndarray:

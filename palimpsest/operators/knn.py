@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +42,10 @@ def ranked(scored: DataFrame, k: int, higher_is_better: bool, by: Sequence[str]
     return scored.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
 
 
-def _merge_best(metric: Metric, k: int, best: tuple[np.ndarray, np.ndarray, np.ndarray], scores: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best (query number, score, row) of those held and of a matrix of scores [queries, rows]."""
+def merge_best(
+    metric: Metric, k: int, best: tuple[np.ndarray, np.ndarray, np.ndarray], scores: np.ndarray, rows: np.ndarray, numbers: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best (query number, score, row) of those held and of a matrix of scores [queries, rows]; `numbers` are its queries'."""
     held_query, held_score, held_row = best
     worth = scores if metric.higher_is_better else -scores
     worth = np.where(np.isnan(worth), -np.inf, worth)
@@ -53,7 +55,8 @@ def _merge_best(metric: Metric, k: int, best: tuple[np.ndarray, np.ndarray, np.n
         query, at = np.nonzero(worth >= least[:, None])
     else:
         query, at = (x.ravel() for x in np.indices(scores.shape))
-    query, value, row = np.concatenate([held_query, query]), np.concatenate([held_score, scores[query, at]]), np.concatenate([held_row, rows[at]])
+    value, row = np.concatenate([held_score, scores[query, at]]), np.concatenate([held_row, rows[at]])
+    query = np.concatenate([held_query, query if numbers is None else numbers[query]])
     # By query, NaN last, then the smaller id: numpy sorts by the last key first.
     order = np.lexsort((row, -value if metric.higher_is_better else value, np.isnan(value), query))
     query, value, row = query[order], value[order], row[order]
@@ -75,7 +78,7 @@ def _block_scorer(ids: np.ndarray, matrix: np.ndarray, k: int, metric: Metric):
             vectors = flat.to_numpy(zero_copy_only=False).reshape(len(batch), matrix.shape[1])
             for at in range(0, len(batch), step):
                 scores = matrix_scores(metric, vectors[at : at + step].astype(np.float64), matrix).T
-                best = _merge_best(metric, k, best, scores, rows[at : at + step])
+                best = merge_best(metric, k, best, scores, rows[at : at + step])
         query, value, row = best
         yield pa.RecordBatch.from_arrays([pa.array(ids[query]), pa.array(row), pa.array(value)], ["query_id", "rowid", "score"])
 
@@ -94,10 +97,15 @@ def batch_top_k(
     the shared folder, so the driver holds one block, however many queries there are;
     the scans are as many as the blocks.
     """
+    narrow = rows.select(F.col(rowid).cast("bigint").alias("rowid"), F.col(vector).alias("vector"))
+    return by_blocks(narrow, queries, k, metric, lambda ids, matrix: _block_scorer(ids, matrix, k, metric), block_bytes)
+
+
+def by_blocks(rows: DataFrame, queries: DataFrame, k: int, metric: Metric, scorer: Callable, block_bytes: int = QUERY_BLOCK_BYTES) -> DataFrame:
+    """The k best of what `scorer(ids, matrix)` finds in the rows for each block of queries; see `batch_top_k`."""
     size = queries.agg(F.count(F.lit(1)), F.max(F.size("qvec"))).first()
     count, width = size[0], max(1, size[1] or 1)
     blocks = max(1, -(-count * width * 8 // block_bytes))
-    narrow = rows.select(F.col(rowid).cast("bigint").alias("rowid"), F.col(vector).alias("vector"))
     spark, folder = rows.sparkSession, shared_path(rows.sparkSession, "nearest") if blocks > 1 else None
     found = None
     for block in range(blocks):
@@ -105,7 +113,7 @@ def batch_top_k(
         held = sorted((r.query_id, r.qvec) for r in chosen.select("query_id", F.col("qvec").cast("array<double>")).collect())
         ids = np.array([q for q, _ in held], np.int64)
         matrix = np.array([v for _, v in held], np.float64).reshape(len(held), -1 if held else width)
-        found = narrow.mapInArrow(_block_scorer(ids, matrix, k, metric), FOUND)
+        found = rows.mapInArrow(scorer(ids, matrix), FOUND)
         if folder is not None:
             found.write.mode("append").parquet(folder)
     if folder is not None:
