@@ -366,3 +366,54 @@ def test_saved_frames_can_be_removed(spark):
     assert frame.count() == 10 and files.exists(path)
     remove_saved(frame)
     assert not files.exists(path)
+
+
+def test_word_and_space_classes_of_every_character(spark):
+    """The tokenizer's classes are those of the stated sets, and cost no more than a property each."""
+    import time
+
+    from palimpsest.functions import text
+
+    characters = spark.range(0x110000).where("id < 55296 OR id > 57343").selectExpr("id", "decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32') AS c").where("id <> 65279")
+    spaces = characters.where(~F.col("c").rlike(rf"\A{text._JAVA_SOLID}\z")).collect()
+    assert sorted(r.c for r in spaces) == sorted(text.WHITE_SPACE)
+    assert characters.where(F.col("c").rlike(rf"\A{text._JAVA_WORD}\z") != F.col("c").rlike(r"\A(?:\p{IsAlphabetic}|\p{N})\z")).isEmpty()
+    words = spark.range(2000, numPartitions=1).select(F.repeat(F.lit("retrieval of Überlieferungen, "), 50).alias("t"))
+
+    def seconds(pattern):
+        best = float("inf")
+        for _ in range(3):
+            start = time.perf_counter()
+            words.agg(F.sum(F.size(F.regexp_extract_all("t", F.lit(pattern), F.lit(0))))).collect()
+            best = min(best, time.perf_counter() - start)
+        return best
+
+    assert seconds(text._JAVA_PIECE) < 5 * seconds(r"\S+")
+
+
+def test_equal_documents_rank_by_id_whatever_the_order_of_sums(spark):
+    from palimpsest.operators import bm25
+
+    dice = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(12)]
+    rows = []
+    for doc in dice.permutation(60):
+        rows += [(words[i], int(doc), 1 + int(i) % 5, 36) for i in dice.permutation(12)]
+    # Words differ in frequency, so that their parts differ.
+    rows += [(words[i], 100 + n, 1, 9 + n) for i in range(12) for n in range(3 * i)]
+    index = spark.createDataFrame(rows, "term string, rowid bigint, tf int, length int").repartition(3)
+    queries = spark.createDataFrame([(1, " ".join(words))], "query_id bigint, qtext string")
+    found = bm25.batch_search(index, queries, 60).orderBy("rank").collect()
+    assert [r.rowid for r in found] == list(range(60))
+
+
+def test_text_hashes_of_odd_batches():
+    import pyarrow as pa
+
+    from palimpsest.functions.scalar import fnv1a, fnv1a_texts
+
+    texts = [None if i % 9 == 4 else "é中a " * (i % 7) ** 3 + "x" * (i % 31) for i in range(200)]
+    for part in (texts, texts[:5], [], [None], [""]):
+        want = [None if t is None else (fnv1a(t.encode()) + 2**63) % 2**64 - 2**63 for t in part]
+        assert fnv1a_texts(pa.array(part, pa.string())).to_pylist() == want
+    assert fnv1a_texts(pa.array(texts).slice(11, 90)).to_pylist() == fnv1a_texts(pa.array(texts)).to_pylist()[11:101]
