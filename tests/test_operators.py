@@ -417,3 +417,24 @@ def test_text_hashes_of_odd_batches():
         want = [None if t is None else (fnv1a(t.encode()) + 2**63) % 2**64 - 2**63 for t in part]
         assert fnv1a_texts(pa.array(part, pa.string())).to_pylist() == want
     assert fnv1a_texts(pa.array(texts).slice(11, 90)).to_pylist() == fnv1a_texts(pa.array(texts)).to_pylist()[11:101]
+
+
+def test_pairs_of_blocks_are_dealt_to_many_tasks(spark):
+    """Pairs are long work on few bytes, so they must not be put together by their bytes."""
+    dice = np.random.default_rng(6)
+    data = 1.0 + 0.01 * dice.standard_normal((400, 4))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], VECTORS)
+    links = similarity.threshold_links(rows, 0.9, block_rows=40).withColumn("task", F.spark_partition_id()).collect()
+    assert len({r.task for r in links}) >= 12 and _reachable([(r.a, r.b) for r in links]) == {i: 0 for i in range(400)}
+
+
+def test_products_near_the_threshold_are_exact():
+    dice = np.random.default_rng(7)
+    base, step = dice.standard_normal(16), dice.standard_normal(16)
+    base, step = base / np.linalg.norm(base), step - (step @ base) / (base @ base) * base
+    step /= np.linalg.norm(step)
+    turned = [base] + [np.cos(a) * base + np.sin(a) * step for a in np.arccos(0.8 + np.array([1e-9, -1e-9, 1e-6, -1e-6, 0.1, -0.1]))]
+    a, b = similarity._compare(np.arange(7), np.array(turned), np.zeros(7, int), False, 0.8)
+    unit = np.array(turned) / np.linalg.norm(turned, axis=1, keepdims=True)
+    pairs = [(i, j) for i in range(7) for j in range(i) if unit[i] @ unit[j] >= 0.8]
+    assert _reachable(list(zip(a.tolist(), b.tolist()))) == _reachable(pairs)
