@@ -587,3 +587,40 @@ def test_async_facade(spark, tmp_path, clock):
 
     (row, n, there, hits, rows, spaces), left, path = asyncio.run(use())
     assert (row.text, n, there, [h.key for h in hits], [r.key for r in rows], spaces) == ("alpha", 2, False, ["b"], ["b"], ["n"]) and left == 1 and path == "n"
+
+
+@pytest.mark.parametrize("mode", [Dedup.REJECT, Dedup.MERGE])
+def test_merged_records_are_written_in_parts_and_lone_ones_at_once(spark, tmp_path, clock, monkeypatch, mode):
+    """Only records that depend on others go through the driver, and what these write is cut by its size."""
+    from palimpsest.sources import store as module
+
+    monkeypatch.setattr(module, "BLOCK_RECORDS", 8)
+    monkeypatch.setattr(module, "PART_BYTES", 600)
+    settled, settle, parts, append = [], module.Namespace._settle, [], module._Write.append
+
+    def counted(self, write, block, start):
+        settled.append(block.count())
+        return settle(self, write, block, start)
+
+    def measured(self, table, frame):
+        if table == "versions":
+            parts.append(frame.count())
+        return append(self, table, frame)
+
+    monkeypatch.setattr(module.Namespace, "_settle", counted)
+    monkeypatch.setattr(module._Write, "append", measured)
+    units = np.eye(40)
+    records = [(units[i].tolist(), f"t{i % 12}" if i < 36 else None, f"k{i}") for i in range(38)] + [((units[37] + 0.01 * units[0]).tolist(), "t99", "k99"), (units[39].tolist(), "t3", "k0")]
+    merge = lambda old, new: {**new, "key": None, "text": old["text"], "metadata": "[" + "1," * 300 + "1]"}
+    config = StoreConfig(dimension=40, clock=clock, dedup=mode, merge=merge)
+    space = MemoryStore.open(spark, f"file://{tmp_path}/s", config).namespace("n")
+    frame = spark.createDataFrame(records, "vector array<float>, text string, key string").coalesce(1)
+    got = [r.status for r in space.insert_df(frame).orderBy("ord").collect()]
+    repeat = "duplicate" if mode is Dedup.REJECT else "merged"
+    assert got == ["inserted"] * 12 + [repeat] * 24 + ["inserted"] * 2 + [repeat] * 2
+    assert space.view.check().count() == 0 and space.store.record["commit"] == 1
+    if mode is Dedup.REJECT:
+        # The similar pair, and the texts of a key that comes twice.
+        assert sum(settled) == 9 and space.count() == 14
+    else:
+        assert max(parts) <= 12 and len(parts) >= 24
